@@ -2,15 +2,16 @@
 
 Sets are distinct word shingles as 64-bit hashes; the global order is the hash order. Two steps find what to
 join: sets that are equal collapse to one class, and classes that can reach the threshold are brought together
-by runs. If J(A, B) >= t, then among the first ``floor(2 * (1 - t) * n) + 2`` values of either set in the global
-order some two neighbours are neighbours in both sets (with a values missing from B and b added by B,
-``2 * a + b <= 2 * (1 - t) * n``, so the shared values outnumber the stretches between differences). A hash of
-each such neighbouring pair is a signature; classes with a common signature are candidates, and the connected
-candidates form a cluster. No pair of a group is written out: a signature links its classes as a star, first
-inside a batch, then across batches. Each cluster's sets go to one task, are stored in a trie by the global
-order, and are joined by traversals that share the overlaps of common beginnings, drop a subtree when its
-remaining length can't reach the threshold, and skip leaves that are already connected. A cluster over
-``MAX_CLUSTER_BYTES`` is cut into chunks that are joined by pairs of chunks.
+by runs. If J(A, B) >= t, then among the first ``floor(l * (1 - t) * n) + l`` values of either set in the global
+order some ``l`` neighbours are neighbours in both sets: with a values missing from B and b added by B,
+``a + t * b <= (1 - t) * n``, so for ``l <= 1 / (1 - t)`` the shared values outnumber l - 1 times the stretches
+between differences. A hash of each such run is a signature; classes with a common signature are candidates, and
+the connected candidates form a cluster. Long runs keep documents apart that only share a passage. No pair of a
+group is written out: a signature links its classes as a star, first inside a batch, then across batches. Each
+cluster's sets go to one task, are stored in a trie by the global order, and are joined by traversals that share
+the overlaps of common beginnings, drop a subtree when its remaining length can't reach the threshold, and skip
+leaves that are already connected. A cluster over ``MAX_CLUSTER_BYTES`` is cut into chunks that are joined by
+pairs of chunks.
 
 Hashes of 64 bits stand for shingles and sets; nothing else is approximate.
 """
@@ -42,8 +43,34 @@ def set_class(s: np.ndarray) -> int:
     return int(W.mix(np.array([(int(m.sum(dtype=U64)) ^ int(np.bitwise_xor.reduce(W.mix(m))) * 3) + len(s) & 0xFFFFFFFFFFFFFFFF], U64)).view(np.int64)[0])
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return min(n, 2 * (den - num) * n // den + 2)
+def runs(num: int, den: int) -> list[tuple[int, int, int]]:
+    """(length of runs, least and greatest set size that emit them); two similar sets have one kind in common.
+
+    A run length l serves sizes whose prefix fits in the set. The long kind serves sizes from ``least`` on; sets
+    that can be similar to a smaller one emit the short kind too. Below 4 values only equal sets reach 0.8.
+    """
+    gap = den - num
+    long = max(1, min(4, 8 * den // (10 * gap)) if gap else 4)
+    least = -(-long * den // (den - long * gap))
+    short = 2 if 2 * den <= 4 * (den - 2 * gap) and num * 5 >= den * 4 else 1
+    if long <= short:
+        return [(short, 1, 1 << 60)]
+    return [(long, least, 1 << 60), (short, 1, least * den // num)]
+
+
+def run_signatures(s: np.ndarray, kinds: list[tuple[int, int, int]], num: int, den: int) -> list[np.ndarray]:
+    out = []
+    for size, least, most in kinds:
+        if not least <= len(s) <= most:
+            continue
+        p = s[: size * (den - num) * len(s) // den + size]
+        n = len(p) - size + 1
+        if n > 0:
+            h = p[:n] + U64(size)
+            for j in range(1, size):
+                h = W.mix(h) * U64(0xD6E8FEB86659FD93) + p[j : n + j]
+            out.append(W.mix(h))
+    return out
 
 
 def _class_rows(k: int):
@@ -72,11 +99,14 @@ def _star(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return order[new], links[:, 0], links[:, 1]
 
 
-_SIGNATURE_SCHEMA = "r int, sig binary, owner binary, cls binary, a binary, b binary"
+_SIGNATURE_SCHEMA = "r int, sig binary, cls binary, count binary, a binary, b binary"
+_LOW = U64((1 << 40) - 1)
 
 
 def _signature_rows(k: int, num: int, den: int, groups: int):
+    """One row per batch and reduce group: 40 bits of each signature by class, the classes and their counts."""
     table = W.space_table(lower=True)
+    kinds = runs(num, den)
     seen: set[int] = set()
 
     def f(batch: pa.RecordBatch):
@@ -86,45 +116,50 @@ def _signature_rows(k: int, num: int, den: int, groups: int):
                 if len(s) < 2 or (c := set_class(s)) in seen:
                     continue
                 seen.add(c)
-                p = s[: prefix_length(len(s), num, den)]
-                sigs.append(W.mix(p[:-1] * U64(0xD6E8FEB86659FD93) + p[1:]))
-                owners.append(len(p) - 1)
+                got = run_signatures(s, kinds, num, den)
+                sigs.extend(got)
+                owners.append(sum(map(len, got)))
                 classes.append(c)
         if not sigs:
             return
         sig = np.concatenate(sigs)
         cls = np.array(classes, np.int64)
-        owner = np.repeat(np.arange(len(cls), dtype=np.uint32), owners)
+        owner = np.repeat(np.arange(len(cls)), owners)
         first, a, b = _star(sig, cls[owner])
+        first.sort()
         sig, owner = sig[first], owner[first]
-        r = ((sig >> U64(20)) % U64(groups)).astype(np.int32)
+        r = ((sig >> U64(40)) % U64(groups)).astype(np.int32)
         order = np.argsort(r, kind="stable")
         cuts = np.searchsorted(r[order], np.arange(groups + 1))
-        out = {x: [] for x in ("r", "sig", "owner", "cls", "a", "b")}
+        out: dict[str, list] = {x: [] for x in ("r", "sig", "cls", "count", "a", "b")}
         for g in range(groups):
             rows = order[cuts[g] : cuts[g + 1]]
             extra = g == int(r[0])
             if not len(rows) and not extra:
                 continue
-            local, owned = np.unique(owner[rows], return_inverse=True)
+            local, counts = np.unique(owner[rows], return_counts=True)
             out["r"].append(g)
-            out["sig"].append(sig[rows].tobytes())
-            out["owner"].append(owned.astype(np.uint32).tobytes())
+            out["sig"].append((sig[rows] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
             out["cls"].append(cls[local].tobytes())
+            out["count"].append(counts.astype(np.uint32).tobytes())
             out["a"].append(a.tobytes() if extra else b"")
             out["b"].append(b.tobytes() if extra else b"")
-        yield pa.RecordBatch.from_arrays([pa.array(out["r"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in ("sig", "owner", "cls", "a", "b"))], list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["r"], pa.int32()), *(pa.array(out[x], pa.binary()) for x in ("sig", "cls", "count", "a", "b"))], list(out))
 
     return f
 
 
 def _links_of_group(table: pa.Table) -> pa.Table:
     sig, cls, a, b = [], [], [], []
-    for x in table.select(["sig", "owner", "cls", "a", "b"]).to_pylist():
-        sig.append(np.frombuffer(x["sig"], U64))
-        cls.append(np.frombuffer(x["cls"], np.int64)[np.frombuffer(x["owner"], np.uint32)])
-        a.append(np.frombuffer(x["a"], np.int64))
-        b.append(np.frombuffer(x["b"], np.int64))
+    for batch in table.to_batches():
+        for s, c, n, x, y in zip(*(batch.column(batch.schema.get_field_index(i)) for i in ("sig", "cls", "count", "a", "b")), strict=True):
+            raw = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :5] = raw
+            sig.append(wide.reshape(-1).view(U64))
+            cls.append(np.repeat(np.frombuffer(c.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.uint32)))
+            a.append(np.frombuffer(x.as_buffer(), np.int64))
+            b.append(np.frombuffer(y.as_buffer(), np.int64))
     _, la, lb = _star(np.concatenate(sig), np.concatenate(cls))
     return pa.table({"a": np.concatenate([la, *a]), "b": np.concatenate([lb, *b])})
 
@@ -290,7 +325,8 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     sets = stored(map_batches(docs, _class_rows(k), "doc_id long, n long, cls long"), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     classes = sets.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
-    groups = max(1, min(width * 4, total // 20_000), -(-total * 2 * (den - num) // den // SIGNATURES_PER_GROUP))
+    emitted = total * runs(num, den)[0][0] * (den - num) // den
+    groups = max(1, min(width, emitted // 200_000), -(-emitted // SIGNATURES_PER_GROUP))
     signatures = map_batches(docs.where("doc_id is not null").select("text"), _signature_rows(k, num, den, groups), _SIGNATURE_SCHEMA)
     links = signatures.groupBy("r").applyInArrow(_links_of_group, "a long, b long")
     clusters = connected_components(links)
