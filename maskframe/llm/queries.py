@@ -11,6 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.decontaminate import contamination_report
+
+    return contamination_report(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.bpe import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("word_bpe_49k.json"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm.ngram_join import similarity_components
 
