@@ -341,7 +341,7 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
         large = facts[1] > MAX_CLUSTER_BYTES
         chunks = F.when(F.col("bytes") > MAX_CLUSTER_BYTES, F.ceil(F.col("bytes") * 2 / MAX_CLUSTER_BYTES)).otherwise(F.lit(1)).cast("int")
         members = members.select(F.col("first_id").alias("doc_id"), "cls", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin"), chunks.alias("chunks"))
-        held = map_batches(docs.join(members, "doc_id").select("text", "cls", "cluster", "bin", "chunks"), _member_sets(k), "cls long, cluster long, bin long, chunks int, values binary")
+        held = map_batches(docs.join(members.hint("merge"), "doc_id").select("text", "cls", "cluster", "bin", "chunks"), _member_sets(k), "cls long, cluster long, bin long, chunks int, values binary")
         if large:
             # chunk i of a large cluster takes part in the pairs (0, i) .. (i, i) .. (i, last)
             mine = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
