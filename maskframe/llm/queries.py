@@ -23,6 +23,24 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.toxicity import toxicity_report
+
+    return toxicity_report(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.secrets import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.token_orc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm.bpe import encode_decode
 
