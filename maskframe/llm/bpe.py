@@ -12,6 +12,7 @@ parameter, and executors get its contents from the driver.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import itertools
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from maskframe.llm.shared import ensure_importable
 
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 _NONE = np.int64(1) << 40
 
 
@@ -75,11 +76,15 @@ class SpeculativeBPE:
         # a proposed token must be what merging makes of its own string
         self.plain = {i for i in range(size) if self.made[i] >= 0 or len(self.strings.get(i, "").removesuffix(self.suffix)) == 1}
         self.product = np.array([self.ranks[x][1] for x in self.ranks], np.int64)
-        # by their first two characters, the lengths that inner tokens have, longest first
+        # by their first two and three characters, the lengths that inner tokens have, longest first
         lengths: dict[str, set[int]] = {}
         for t, i in self.inner.items():
             if i in self.plain and len(t) > 1:
-                lengths.setdefault(t[:2], set()).add(len(t))
+                for k in (2, 3):
+                    lengths.setdefault(t[:k], set()).add(len(t))
+        for t, sizes in lengths.items():
+            if len(t) == 3 and t[:2] in self.inner:
+                sizes.add(2)
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
 
     def propose(self, word: str) -> list[int] | None:
@@ -90,7 +95,8 @@ class SpeculativeBPE:
             if (t := final.get(word[at:])) is not None and t in plain:
                 out.append(t)
                 return out
-            for size in lengths.get(word[at : at + 2], ()):
+            sizes = lengths.get(word[at : at + 3])
+            for size in sizes if sizes is not None else (2,):
                 if at + size < n and (t := inner.get(word[at : at + size])) is not None and t in plain:
                     break
             else:
@@ -230,6 +236,8 @@ class WordCoder:
             raise ValueError("the vocabulary file prepares its texts in a way that isn't supported")
         self.bpe = SpeculativeBPE(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.lined = regex.compile(r"\n|" + split["pattern"]["Regex"])
+        self.empty = False
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_names = {i: s for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -250,21 +258,25 @@ class WordCoder:
         a = self.alphabet
         return "".join([a[b] for b in piece.encode()])
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
+        """Cut new chunks into pieces in one pass, encode the new pieces, and remember both."""
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        cut = {c: self.pattern.findall(self.normal(c)) for c in chunks}
-        new = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
+        pieces = self.pieces
+        pieces["\n"] = None  # stands between chunks; no piece holds white space
+        cut = self.lined.findall(self.normal("\n".join(chunks)))
+        new = list(set(cut).difference(pieces))
         names, strings = self.names, self.bpe.strings
         for p, ids in zip(new, self.bpe.encode_words([self.spelled(p) for p in new]) if new else (), strict=True):
-            self.pieces[p] = (" ".join([names[i] for i in ids]), " ".join([strings[i] for i in ids]))
-        pieces = self.pieces
-        for c, ps in cut.items():
-            if len(ps) == 1:
-                self.chunks[c] = pieces[ps[0]]
-            else:
-                got = [pieces[p] for p in ps]
-                self.chunks[c] = (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+            pieces[p] = (" ".join([names[i] for i in ids]), " ".join([strings[i] for i in ids]))
+        held, at = [], 0
+        for g in itertools.chain(map(pieces.__getitem__, cut), (None,)):
+            if g is not None:
+                held.append(g)
+                continue
+            self.chunks[chunks[at]] = held[0] if len(held) == 1 else tuple(map(" ".join, zip(*held, strict=True))) if held else ("", "")
+            self.empty |= not held
+            held, at = [], at + 1
 
     def cut_text(self, text: str) -> list[str]:
         """Chunks that are encoded alone; special tokens are chunks too."""
@@ -285,18 +297,20 @@ class WordCoder:
         missing = wanted.difference(self.chunks)
         if len(self.chunks) + len(missing) > REMEMBERED:
             self.chunks = {c: self.chunks[c] for c in wanted - missing}
-        self._learn(missing)
+        if missing:
+            self._learn(list(missing))
         for s, i in self.special.items():
             self.chunks[s] = (str(i), s)
         get = self.chunks.__getitem__
         out = []
         for t in cut:
-            got = [g for g in map(get, t) if g[0]]
-            out.append((" ".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+            got = [g for g in map(get, t) if g[0]] if self.empty else map(get, t)
+            ids, decoded = tuple(zip(*got, strict=True)) or ((), ())
+            out.append((" ".join(ids), " ".join(decoded)))
         return out
 
 
-def _grouped(texts: list[str], size: int = 1 << 20):
+def _grouped(texts: list[str], size: int = 4 << 20):
     """Runs of texts of about ``size`` characters."""
     run, held = [], 0
     for t in texts:
@@ -325,6 +339,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_tokens: bool = False) -
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_tokens else "")
 
     def run(batches):
+        gc.disable()  # nothing here is cyclic, and the remembered entries would be walked again and again
         coder = WordCoder(sent.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
