@@ -41,6 +41,18 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.sharding import pack_shards
+
+    return pack_shards(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.substring_dedup import remove_duplicates
+
+    return remove_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm.bpe import encode_decode
 
