@@ -4,7 +4,7 @@ Documents are range-partitioned and sorted by id, so that files hold ascending i
 maxima prune a range of ids, the Bloom filters a single id, and readers take stripes in parallel. A row carries its
 offset among its file part's ids; part totals, one small row each, turn that into the corpus-wide start.
 
-Each distinct space-delimited chunk is encoded once per task. The byte-level pattern never joins characters across
+Each distinct space-delimited chunk is encoded once per Python worker, up to ``REMEMBERED`` of them. The byte-level pattern never joins characters across
 a single space between two non-space characters (the space starts the next piece), so chunks are encoded alone:
 many new ones in one string, cut apart again by the byte lengths of the ids. Texts with other spacing, or with the
 string of a special token, go through the library whole.
@@ -12,6 +12,8 @@ string of a special token, go through the library whole.
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import json
 import re
 import uuid
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from maskframe.llm.shared import ensure_importable, shared_folder
 
 END_ID = 0
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 SCHEMA = "doc_id long, part int, part_offset long, ids array<int>"
 _IRREGULAR = re.compile(r" (?=\s)| \Z")
 
@@ -55,7 +57,7 @@ class ChunkEncoder:
             some = chunks[at : at + 1000]
             ids = np.frombuffer(self._library([" " + " ".join(some)])[0], "<u4")
             ends = np.cumsum(self.bytes_of[ids])
-            wanted = np.cumsum([len(c.encode()) + 1 for c in some])
+            wanted = np.cumsum([(len(c) if c.isascii() else len(c.encode())) + 1 for c in some])
             cuts = np.searchsorted(ends, wanted) + 1
             if not np.array_equal(ends[cuts - 1], wanted):
                 raise RuntimeError("a token spans two chunks")
@@ -88,6 +90,18 @@ class ChunkEncoder:
         return out
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def _encoder(vocabulary: str) -> ChunkEncoder:
+    """One encoder per worker process and vocabulary: what it remembers serves the worker's later tasks."""
+    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+    if key not in _ENCODERS:
+        gc.disable()  # nothing here is cyclic, and the remembered entries would be walked again and again
+        _ENCODERS[key] = ChunkEncoder(vocabulary)
+    return _ENCODERS[key]
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
     """Write doc_id, part, part_offset and ids (with ``end_id`` at the end) in ascending doc_id order.
 
@@ -101,7 +115,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     def run(batches):
         from pyspark import TaskContext
 
-        coder = ChunkEncoder(sent.value)
+        coder = _encoder(sent.value)
         part, offset = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
@@ -109,7 +123,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
             at = 0
             while at < len(texts):
                 stop, held = at, 0
-                while stop < len(texts) and (stop == at or held + len(texts[stop]) <= 1 << 20):
+                while stop < len(texts) and (stop == at or held + len(texts[stop]) <= 4 << 20):
                     held += len(texts[stop])
                     stop += 1
                 rows = [ids + end for ids in coder.encode(texts[at:stop])]
@@ -134,27 +148,33 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     )
 
 
+def _part_starts(rows: DataFrame) -> DataFrame:
+    """(part, before): ids in earlier file parts; one row per part."""
+    totals = rows.groupBy("part").agg(F.max(F.col("part_offset") + F.size("ids")).alias("total"))
+    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): every document's ids and their place in the whole corpus."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.max(F.col("part_offset") + F.size("ids")).alias("total"))
-    # one row per file part
-    before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("part_offset")).alias("start"), "ids")
+    return rows.join(_part_starts(rows), "part").select("doc_id", (F.col("before") + F.col("part_offset")).alias("start"), "ids")
 
 
-def token_digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of what :func:`read_tokens` gives."""
+def token_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the files at ``path``; ids are reduced before anything is joined."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(2)
+            ids = b.column(3)
             bounds = ids.offsets.to_numpy()
             values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(values[x:y].tobytes()) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "part_offset", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(SCHEMA).orc(path)
+    digest = rows.mapInArrow(run, "doc_id long, part int, part_offset long, n_tokens long, ids_crc32 long")
+    return digest.join(_part_starts(rows), "part").select("doc_id", (F.col("before") + F.col("part_offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, path: str | None = None) -> DataFrame:
@@ -162,4 +182,4 @@ def round_trip(docs: DataFrame, vocabulary: str, path: str | None = None) -> Dat
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, vocabulary)
-    return token_digest(read_tokens(spark, path))
+    return token_digest(spark, path)
