@@ -328,6 +328,18 @@ def read_vocabulary(path: str) -> dict:
         return json.load(f)
 
 
+_CODERS: dict[int, WordCoder] = {}
+
+
+def _coder(spec: dict) -> WordCoder:
+    """One coder per worker process and vocabulary: what it remembers serves the worker's later tasks."""
+    key = hash((len(spec["model"]["merges"]), tuple(map(tuple, spec["model"]["merges"][:1000])), spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]))
+    if key not in _CODERS:
+        gc.disable()  # nothing here is cyclic, and the remembered entries would be walked again and again
+        _CODERS[key] = WordCoder(spec)
+    return _CODERS[key]
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, with_tokens: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; ``with_tokens`` adds ``ids`` and ``decoded``.
 
@@ -339,8 +351,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_tokens: bool = False) -
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_tokens else "")
 
     def run(batches):
-        gc.disable()  # nothing here is cyclic, and the remembered entries would be walked again and again
-        coder = WordCoder(sent.value)
+        coder = _coder(sent.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
