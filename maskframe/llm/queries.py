@@ -53,6 +53,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.ann import hundredth_queries, nearest
+
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nearest(vectors, hundredth_queries(vectors), k=10)
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm.bpe import encode_decode
 
