@@ -340,32 +340,30 @@ def _coder(spec: dict) -> WordCoder:
     return _CODERS[key]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, with_tokens: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; ``with_tokens`` adds ``ids`` and ``decoded``.
+def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; ``with_ids`` adds ``ids``.
 
     No special tokens are added, nothing is cut or padded; strings of special tokens in a text become their ids.
     A null text is empty: no tokens, and the hash of the empty string twice.
     """
     ensure_importable(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_tokens else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         coder = _coder(sent.value)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
-            for group in _grouped(texts):
-                for i, d in coder.encode(group):
-                    n.append(i.count(" ") + 1 if i else 0)
-                    ids_hash.append(hashlib.sha256(i.encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(d.encode()).hexdigest())
-                    if with_tokens:
-                        ids.append(np.array(i.split(), np.int32))
-                        decoded.append(d)
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            if with_tokens:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+            at = 0
+            for group in _grouped([t or "" for t in b.column(1).to_pylist()]):
+                coded = coder.encode(group)
+                n = [i.count(" ") + 1 if i else 0 for i, _ in coded]
+                sums = [[hashlib.sha256(c[k].encode()).hexdigest() for c in coded] for k in (0, 1)]
+                columns = [b.column(0).slice(at, len(group)), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in sums)]
+                if with_ids:
+                    flat = np.fromstring(" ".join([i for i, _ in coded if i]) or "", np.int32, sep=" ")
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
+                at += len(group)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -60,6 +60,12 @@ def op2_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, hundredth_queries(vectors), k=10)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskframe.llm.html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskframe.llm.bpe import encode_decode
 
