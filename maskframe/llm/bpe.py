@@ -5,9 +5,11 @@ a greedy longest-match proposal needs one test per distinct pair of neighbours.
 merges backwards in time, for all pairs at once in numpy, and looks up at each moment whether a merge joins the
 two symbols that meet at the border before either is used up. Words that hold a failing pair are merged exactly.
 
-Texts are cut at white space into chunks, chunks into pieces by the vocabulary's pattern; both are remembered up
-to ``REMEMBERED`` entries per task. The vocabulary is a file in the format of the tokenizers library; its path is a
-parameter, and executors get its contents from the driver.
+Texts are cut at ASCII white space into chunks, told apart by hashes over whole batches; the ids of up to
+``REMEMBERED`` chunks are kept in arrays by a worker for its later tasks. Chunks are cut into pieces by the
+vocabulary's pattern. Ids and token strings become text by gathers from a table of each id's characters. The
+vocabulary is a file in the format of the tokenizers library; its path is a parameter, and executors get its
+contents from the driver.
 """
 
 from __future__ import annotations
@@ -25,9 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from maskframe.llm import words as W
+from maskframe.llm.idstore import IdStore, ragged
 from maskframe.llm.shared import ensure_importable
 
-REMEMBERED = 300_000
+REMEMBERED = 2_500_000
+#: Pieces whose ids are kept as Python lists, and bytes of text handled at once.
+PIECES = 200_000
+GROUP_BYTES = 1 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -220,9 +227,24 @@ class SpeculativeBPE:
             out[i] = t
         return out
 
-    def decode(self, ids: list[int], special: dict[int, str]) -> str:
-        """Token strings joined by spaces, as a vocabulary file without a decoder is decoded."""
-        return " ".join(special.get(i) or self.strings[i] for i in ids)
+
+class Characters:
+    """Texts of ids, each with a space after it, to be joined by gathers."""
+
+    def __init__(self, texts: dict[int, str]):
+        size = max(texts) + 1
+        raw = [(texts.get(i, "") + " ").encode() for i in range(size)]
+        self.length = np.array([len(r) for r in raw])
+        self.begin = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The ids' texts of each document, joined by spaces."""
+        length = self.length[ids]
+        before = np.concatenate([[0], np.cumsum(length)])
+        text = self.data[ragged(self.begin[ids], length, before)].tobytes()
+        ends = before[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [text[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class WordCoder:
@@ -237,14 +259,14 @@ class WordCoder:
         self.bpe = SpeculativeBPE(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.lined = regex.compile(r"\n|" + split["pattern"]["Regex"])
-        self.empty = False
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_names = {i: s for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.alphabet = byte_alphabet()
-        self.names = {i: str(i) for i in self.bpe.strings}
-        self.pieces: dict[str, tuple[str, str]] = {}
-        self.chunks: dict[str, tuple[str, str]] = {}
+        strings = self.bpe.strings | {i: s for s, i in self.special.items()}
+        self.numbers, self.strings = Characters({i: str(i) for i in strings}), Characters(strings)
+        self.pieces: dict[str, list[int] | None] = {}
+        self.store = IdStore()
+        self.table = W.space_table(lower=True)
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -258,69 +280,67 @@ class WordCoder:
         a = self.alphabet
         return "".join([a[b] for b in piece.encode()])
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Cut new chunks into pieces in one pass, encode the new pieces, and remember both."""
-        if len(self.pieces) > REMEMBERED:
+    def _pieces(self, cut: list[str]) -> dict[str, list[int] | None]:
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
-        pieces = self.pieces
-        pieces["\n"] = None  # stands between chunks; no piece holds white space
-        cut = self.lined.findall(self.normal("\n".join(chunks)))
-        new = list(set(cut).difference(pieces))
-        names, strings = self.names, self.bpe.strings
-        for p, ids in zip(new, self.bpe.encode_words([self.spelled(p) for p in new]) if new else (), strict=True):
-            pieces[p] = (" ".join([names[i] for i in ids]), " ".join([strings[i] for i in ids]))
-        held, at = [], 0
-        for g in itertools.chain(map(pieces.__getitem__, cut), (None,)):
-            if g is not None:
-                held.append(g)
-                continue
-            self.chunks[chunks[at]] = held[0] if len(held) == 1 else tuple(map(" ".join, zip(*held, strict=True))) if held else ("", "")
-            self.empty |= not held
-            held, at = [], at + 1
-
-    def cut_text(self, text: str) -> list[str]:
-        """Chunks that are encoded alone; special tokens are chunks too."""
-        out: list[str] = []
-        for part in self.cut.split(text) if "<|" in text else (text,):
+        self.pieces["\n"] = None  # stands between chunks; no piece holds white space
+        new = list(set(cut).difference(self.pieces))
+        if new:
+            self.pieces.update(zip(new, self.bpe.encode_words([self.spelled(p) for p in new]), strict=True))
+        return self.pieces
+
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after the other, and how many each has: all are cut into pieces in one pass."""
+        cut = self.lined.findall(self.normal(b"\n".join(chunks).decode()))
+        get = self._pieces(cut).__getitem__
+        ids: list[int] = []
+        ends = []
+        for g in map(get, cut):
+            if g is None:
+                ends.append(len(ids))
+            else:
+                ids += g
+        ends.append(len(ids))
+        return np.diff(np.array(ends), prepend=0), np.array(ids, np.uint32)
+
+    def encode_whole(self, text: str) -> list[int]:
+        """One text, with strings of special tokens as their ids."""
+        out: list[int] = []
+        for part in self.cut.split(text):
             if part in self.special:
-                out.append(part)
-            elif any(c in part for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, but not for the pattern
-                out.extend(self.pattern.findall(self.normal(part)))
+                out.append(self.special[part])
             else:
-                out.extend(part.split())
-        return out
-
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids, decoded text) of each text, both as strings."""
-        cut = [self.cut_text(t) for t in texts]
-        wanted = set(itertools.chain.from_iterable(cut)).difference(self.special)
-        missing = wanted.difference(self.chunks)
-        if len(self.chunks) + len(missing) > REMEMBERED:
-            self.chunks = {c: self.chunks[c] for c in wanted - missing}
-        if missing:
-            self._learn(list(missing))
-        for s, i in self.special.items():
-            self.chunks[s] = (str(i), s)
-        get = self.chunks.__getitem__
-        out = []
-        for t in cut:
-            got = [g for g in map(get, t) if g[0]] if self.empty else map(get, t)
-            ids, decoded = tuple(zip(*got, strict=True)) or ((), ())
-            out.append((" ".join(ids), " ".join(decoded)))
+                cut = self.pattern.findall(self.normal(part))
+                get = self._pieces(cut).__getitem__
+                for p in cut:
+                    out += get(p)
         return out
 
-
-def _grouped(texts: list[str], size: int = 4 << 20):
-    """Runs of texts of about ``size`` characters."""
-    run, held = [], 0
-    for t in texts:
-        run.append(t)
-        held += len(t)
-        if held >= size:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of each text's ids; null is empty."""
+        raw, bounds = W.text_buffers(column)
+        marks = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)) if len(raw) else np.zeros(0, np.int64)
+        whole = np.unique(np.searchsorted(bounds, marks, "right") - 1)  # documents that may hold a special token
+        w = W.split_words(raw, bounds, self.table)
+        unique, at, where = np.unique(w.hash, return_index=True, return_inverse=True)
+        slots = self.store.slots(unique)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            if len(self.store) + len(new) > REMEMBERED:
+                self.store = IdStore()
+                new = np.arange(len(unique))
+            text = raw.tobytes()
+            self.store.add(unique[new], *self._learn([text[a:b] for a, b in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)]))
+            slots = self.store.slots(unique)
+        flat, size = self.store.gather(slots[where])
+        counts = np.bincount(np.repeat(np.arange(w.docs), w.counts), size, minlength=w.docs).astype(np.int64)
+        if len(whole):
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for i, t in zip(whole.tolist(), column.take(pa.array(whole)).to_pylist(), strict=True):
+                parts[i] = np.array(self.encode_whole(t), np.uint32)
+                counts[i] = len(parts[i])
+            flat = np.concatenate(parts)
+        return flat, counts
 
 
 def read_vocabulary(path: str) -> dict:
@@ -354,16 +374,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> D
     def run(batches):
         coder = _coder(sent.value)
         for b in batches:
-            at = 0
-            for group in _grouped([t or "" for t in b.column(1).to_pylist()]):
-                coded = coder.encode(group)
-                n = [i.count(" ") + 1 if i else 0 for i, _ in coded]
-                sums = [[hashlib.sha256(c[k].encode()).hexdigest() for c in coded] for k in (0, 1)]
-                columns = [b.column(0).slice(at, len(group)), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in sums)]
+            _, bounds = W.text_buffers(b.column(1))
+            for lo, hi in W.chunks(bounds, GROUP_BYTES):
+                ids, n = coder.encode(b.column(1).slice(lo, hi - lo))
+                sums = [[hashlib.sha256(t).hexdigest() for t in c.join(ids, n)] for c in (coder.numbers, coder.strings)]
+                columns = [b.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x, pa.string()) for x in sums)]
                 if with_ids:
-                    flat = np.fromstring(" ".join([i for i, _ in coded if i]) or "", np.int32, sep=" ")
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
-                at += len(group)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
