@@ -9,8 +9,9 @@ words of factors, each at least a window long, are duplicate spans.
 
 Before anything is shuffled, a run of documents of ``BLOCK_BYTES`` settles its own repeats: of the holders of a
 phrase only the smallest doc_id goes to the phrase's block, the others are marked at once. So a phrase in a third of
-all documents costs its block one entry per run. Blocks are sized by the number of phrases. Phrases are compared by
-64-bit hashes.
+all documents costs its block one entry per run. Blocks are sized by the number of phrases, and each sends what it
+found to as many buckets of documents, which put a document's factors together. Phrases are compared by 56 bits of
+their hashes inside a block of ``PHRASES_PER_BLOCK``; rows travel packed, ids and places as differences.
 """
 
 from __future__ import annotations
@@ -33,10 +34,24 @@ _SENT = "r int, hash binary, doc binary, row binary, count binary, place binary,
 _NAMES = [x.split()[0] for x in _SENT.split(", ")]
 
 
-def _by_row(owner: np.ndarray, doc: np.ndarray, row: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Of sorted owners (document numbers in the run): their ids, row marks and counts."""
-    local, counts = np.unique(owner, return_counts=True)
-    return doc[local].tobytes(), row[local].tobytes(), counts.astype(np.uint32).tobytes()
+def _pack(owner: np.ndarray, place: np.ndarray, doc: np.ndarray, row: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Sorted (owner, place) rows as the owners' ids, row marks and counts, and the places; ids and places as steps."""
+    local, first, counts = np.unique(owner, return_index=True, return_counts=True)
+    step = np.diff(place.astype(np.int64), prepend=0)
+    step[first] = place[first]
+    kind = np.uint16 if step.max(initial=0) < 1 << 16 else np.uint32
+    return np.diff(doc[local], prepend=0).tobytes(), row[local].tobytes(), counts.astype(np.uint32).tobytes(), step.astype(kind).tobytes()
+
+
+def _unpack(doc, row, count, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, row marks and places, a row for each place."""
+    counts = np.frombuffer(count, np.uint32).astype(np.int64)
+    total = int(counts.sum())
+    step = np.frombuffer(place, np.uint32 if len(memoryview(place)) == 4 * total else np.uint16).astype(np.int64)
+    run = np.cumsum(step)
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]])[: len(counts)]
+    places = run - np.repeat(run[first] - step[first], counts)
+    return np.repeat(np.cumsum(np.frombuffer(doc, np.int64)), counts), np.repeat(np.frombuffer(row, np.int32), counts), places
 
 
 def _phrase_rows(window: int, blocks: int):
@@ -55,22 +70,21 @@ def _phrase_rows(window: int, blocks: int):
         marked = np.zeros(len(h), bool)
         marked[order[d > least]] = True
         go = np.flatnonzero(~marked)
-        r = ((h[go] >> U64(32)) % U64(blocks)).astype(np.int32)
+        r = (h[go] % U64(blocks)).astype(np.int32)
         by = np.argsort(r, kind="stable")
         cuts = np.searchsorted(r[by], np.arange(blocks + 1))
         out: dict[str, list] = {x: [] for x in _NAMES}
         local = np.flatnonzero(marked)
-        keep_local = (*_by_row(owner[local], doc, row), place[local].tobytes())
+        keep_local = _pack(owner[local], place[local], doc, row)
         first = int(r[0]) if len(r) else 0
         for b in range(blocks):
             rows = go[by[cuts[b] : cuts[b + 1]]]
             if not len(rows) and b != first:
                 continue
             out["r"].append(b)
-            out["hash"].append(h[rows].tobytes())
-            for n, v in zip(("doc", "row", "count"), _by_row(owner[rows], doc, row), strict=True):
+            out["hash"].append((h[rows] // U64(blocks)).view(np.uint8).reshape(-1, 8)[:, :7].tobytes())
+            for n, v in zip(("doc", "row", "count", "place"), _pack(owner[rows], place[rows], doc, row), strict=True):
                 out[n].append(v)
-            out["place"].append(place[rows].tobytes())
             for n, v in zip(("l_doc", "l_row", "l_count", "l_place"), keep_local if b == first else (b"",) * 4, strict=True):
                 out[n].append(v)
         return pa.RecordBatch.from_arrays([pa.array(out["r"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in _NAMES[1:])], _NAMES)
@@ -97,37 +111,56 @@ def _phrase_rows(window: int, blocks: int):
     return run
 
 
-def _match_block(table: pa.Table) -> pa.Table:
-    """Places of phrases that a smaller doc_id holds, by document row."""
-    hashes, docs, rows, places = [], [], [], []
-    done: list[tuple] = []
-    for batch in table.to_batches():
-        for values in zip(*(batch.column(batch.schema.get_field_index(n)) for n in _NAMES[1:]), strict=True):
-            h, d, w, c, p, ld, lw, lc, lp = (v.as_buffer() for v in values)
-            count = np.frombuffer(c, np.uint32)
-            hashes.append(np.frombuffer(h, U64))
-            docs.append(np.repeat(np.frombuffer(d, np.int64), count))
-            rows.append(np.repeat(np.frombuffer(w, np.int32), count))
-            places.append(np.frombuffer(p, np.uint32))
-            if lc.size:
-                count = np.frombuffer(lc, np.uint32)
-                done.append((np.repeat(np.frombuffer(ld, np.int64), count), np.repeat(np.frombuffer(lw, np.int32), count), np.frombuffer(lp, np.uint32)))
-    h, d, w, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(rows), np.concatenate(places)
-    del hashes, docs, rows, places
-    order = np.argsort(h, kind="stable")
-    s, ds = h[order], d[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    least = np.minimum.reduceat(ds, np.flatnonzero(new))[np.cumsum(new) - 1] if len(s) else ds
-    found = order[ds > least]
-    d, w, p = (np.concatenate([x[found], *(y[i] for y in done)]) for i, x in enumerate((d, w, p)))
+_FOUND = "bucket int, doc binary, row binary, count binary, place binary"
+
+
+def _match_block(buckets: int):
+    def f(table: pa.Table) -> pa.Table:
+        """Places of phrases that a smaller doc_id holds, packed by bucket of documents."""
+        hashes, sent, done = [], [], []
+        for batch in table.to_batches():
+            for values in zip(*(batch.column(batch.schema.get_field_index(n)) for n in _NAMES[1:]), strict=True):
+                h, d, w, c, p, ld, lw, lc, lp = (v.as_buffer() for v in values)
+                raw = np.frombuffer(h, np.uint8).reshape(-1, 7)
+                wide = np.zeros((len(raw), 8), np.uint8)
+                wide[:, :7] = raw
+                hashes.append(wide.reshape(-1).view(U64))
+                sent.append(_unpack(d, w, c, p))
+                if lc.size:
+                    done.append(_unpack(ld, lw, lc, lp))
+        h = np.concatenate(hashes)
+        d, w, p = (np.concatenate([x[i] for x in sent]) for i in range(3))
+        del hashes, sent
+        order = np.argsort(h, kind="stable")
+        s, ds = h[order], d[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        least = np.minimum.reduceat(ds, np.flatnonzero(new))[np.cumsum(new) - 1] if len(s) else ds
+        found = order[ds > least]
+        d, w, p = (np.concatenate([x[found], *(y[i] for y in done)]) for i, x in enumerate((d, w, p)))
+        bucket = (W.mix(d.view(U64)) % U64(buckets)).astype(np.int32)
+        order = np.lexsort((p, w, d, bucket))
+        d, w, p, bucket = d[order], w[order], p[order], bucket[order]
+        owner = np.cumsum(np.append(True, (d[1:] != d[:-1]) | (w[1:] != w[:-1]))) - 1 if len(d) else np.zeros(0, np.int64)
+        heads = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(d)) if len(d) else np.zeros(1, np.int64)
+        ids, marks = d[heads[:-1]], w[heads[:-1]]
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(d)).tolist() if len(d) else [0]
+        rows = [_pack(owner[a:b], p[a:b], ids, marks) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        columns = [pa.array([r[i] for r in rows], pa.binary()) for i in range(4)]
+        return pa.table([pa.array(bucket[cuts[:-1]] if len(d) else [], pa.int32()), *columns], names=["bucket", "doc", "row", "count", "place"])
+
+    return f
+
+
+def _merge_bucket(table: pa.Table) -> pa.Table:
+    """One row per document row, with the places that all blocks found."""
+    parts = [_unpack(*(v.as_buffer() for v in values)) for batch in table.to_batches() for values in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("doc", "row", "count", "place")), strict=True)]
+    d, w, p = (np.concatenate([x[i] for x in parts]) for i in range(3))
     order = np.lexsort((p, w, d))
     d, w, p = d[order], w[order], p[order]
-    if not len(d):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "row": pa.array([], pa.int32()), "places": pa.array([], pa.binary())})
     cuts = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])))
     ends = np.append(cuts[1:], len(d))
-    return pa.table({"doc_id": d[cuts], "row": w[cuts], "places": pa.array([p[a:b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())})
+    return pa.table({"doc_id": d[cuts], "row": w[cuts], "places": pa.array([np.unique(p[a:b]).astype(np.uint32).tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
 def factors(places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -141,7 +174,7 @@ def factors(places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def find_duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, places): for each document row with duplicates, lists of the places of its found phrases.
+    """(doc_id, row, places): for each document row with duplicates, the places of its found phrases as uint32.
 
     ``row`` is a hash that tells rows of one doc_id with different texts apart. Words are runs of bytes but ASCII
     white space, unchanged. A null doc_id is not compared, neither as holder nor as duplicate; equal ids aren't
@@ -154,8 +187,8 @@ def find_duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     blocks = max(1, min(width, phrases // 100_000), -(-phrases // PHRASES_PER_BLOCK))
     rows = docs.where("doc_id is not null").select("doc_id", F.hash("text").alias("row"), "text")
     sent = rows.mapInArrow(_phrase_rows(window, blocks), _SENT)
-    found = sent.groupBy("r").applyInArrow(_match_block, "doc_id long, row int, places binary")
-    return found.groupBy("doc_id", "row").agg(F.collect_list("places").alias("places"))
+    found = sent.groupBy("r").applyInArrow(_match_block(blocks), _FOUND)
+    return found.groupBy("bucket").applyInArrow(_merge_bucket, "doc_id long, row int, places binary")
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -177,9 +210,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, with_text: bool = F
                 words = (text or "").encode().split()
                 n.append(len(words))
                 if places:
-                    at = np.sort(np.concatenate([np.frombuffer(p, np.uint32) for p in places])).astype(np.int64)
                     cover = np.zeros(len(words) + 1, np.int64)
-                    for first, length in factors(np.unique(at), window):
+                    for first, length in factors(np.frombuffer(places, np.uint32).astype(np.int64), window):
                         cover[first] += 1
                         cover[first + length] -= 1
                     stay = np.flatnonzero(np.cumsum(cover[:-1]) == 0).tolist()
