@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from maskframe.llm.shared import ensure_importable, shuffle_width
 
 PAGES = 400
-BIN_BYTES = 16 << 20
+BIN_BYTES = 4 << 20
 SPAN = 8
 #: Different articles that a span must be seen with to be boilerplate, and the share of a block under such spans.
 ARTICLES = 3
@@ -257,7 +257,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/]*//(?:[^/@?#]*@)?([^/:?#]*)", 1))
     pages = pages.select("page_id", "url", "html").withColumn("host", host)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    bins = max(1, min(shuffle_width(pages), total // (1 << 20)), -(-total // BIN_BYTES))
+    bins = max(1, min(4 * shuffle_width(pages), total // (1 << 18)), -(-total // BIN_BYTES))
     large = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > PAGES).select(F.col("host").alias("_host"), F.ceil(F.col("n") / PAGES).cast("int").alias("parts"))
     large = large.persist()
     # broadcast only while the number of large hosts, each with over PAGES pages, is small
