@@ -14,7 +14,6 @@ contents from the driver.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import itertools
@@ -31,9 +30,9 @@ from maskframe.llm import words as W
 from maskframe.llm.idstore import IdStore, ragged
 from maskframe.llm.shared import ensure_importable
 
-REMEMBERED = 2_500_000
+REMEMBERED = 1_000_000
 #: Pieces whose ids are kept as Python lists, and bytes of text handled at once.
-PIECES = 200_000
+PIECES = 100_000
 GROUP_BYTES = 1 << 20
 _NONE = np.int64(1) << 40
 
@@ -355,7 +354,6 @@ def _coder(spec: dict) -> WordCoder:
     """One coder per worker process and vocabulary: what it remembers serves the worker's later tasks."""
     key = hash((len(spec["model"]["merges"]), tuple(map(tuple, spec["model"]["merges"][:1000])), spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]))
     if key not in _CODERS:
-        gc.disable()  # nothing here is cyclic, and the remembered entries would be walked again and again
         _CODERS[key] = WordCoder(spec)
     return _CODERS[key]
 

@@ -261,7 +261,8 @@ def _with_findings(docs: DataFrame, block: list, text_col: str, window: int, aga
                 old = b.column(b.schema.get_field_index("_hit")).to_pylist()
                 hits = [np.unique(np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 3), h]), axis=0) for o, h in zip(old, hits, strict=True)]
                 items = [o + i for o, i in zip(b.column(b.schema.get_field_index("_items")).to_pylist(), items, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(counts), pa.array([h.tobytes() for h in hits], pa.binary()), pa.array([sorted(set(i)) for i in items], pa.list_(pa.int64()))], [*names, "_n_words", "_hit", "_items"])
+            done = pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(counts), pa.array([h.tobytes() for h in hits], pa.binary()), pa.array([sorted(set(i)) for i in items], pa.list_(pa.int64()))], [*names, "_n_words", "_hit", "_items"])
+            yield from W.slices(done, at)
 
     return docs.mapInArrow(run, schema)
 
@@ -316,7 +317,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     at = names.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in W.slices(batch, at)):
             texts = [_cut(t, h) for t, h in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
 

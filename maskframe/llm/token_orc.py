@@ -13,7 +13,6 @@ Texts with other spacing, or with the string of a special token, go through the
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import uuid
@@ -29,7 +28,7 @@ from maskframe.llm.idstore import IdStore
 from maskframe.llm.shared import ensure_importable, shared_folder
 
 END_ID = 0
-REMEMBERED = 2_500_000
+REMEMBERED = 1_000_000
 GROUP_BYTES = 2 << 20
 SCHEMA = "doc_id long, part int, part_offset long, n_ids int, ids array<int>"
 _CHUNKS = np.arange(256, dtype=np.uint8)
@@ -138,7 +137,6 @@ def _encoder(vocabulary: str) -> ChunkEncoder:
     """One encoder per worker process and vocabulary: what it remembers serves the worker's later tasks."""
     key = hashlib.sha256(vocabulary.encode()).hexdigest()
     if key not in _ENCODERS:
-        gc.disable()  # nothing here is cyclic, and the remembered entries would be walked again and again
         _ENCODERS[key] = ChunkEncoder(vocabulary)
     return _ENCODERS[key]
 

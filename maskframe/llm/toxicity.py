@@ -21,7 +21,7 @@ from maskframe.llm import words as W
 from maskframe.llm.shared import ensure_importable
 
 U64 = np.uint64
-SAMPLE = 12_000
+SAMPLE = 10_000
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 8)
 THRESHOLD = 0.7
@@ -186,7 +186,8 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str
     def run(batches):
         w, b0 = sent.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_column(b.column(at), w, b0))], [*names, score_col])
+            for part in W.slices(b, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_column(part.column(at), w, b0))], [*names, score_col])
 
     return docs.mapInArrow(run, schema)
 

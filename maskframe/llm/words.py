@@ -121,6 +121,14 @@ def chunks(bounds: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         i = j
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most ``size`` bytes of text, or one longer row, so that what is built from
+    them and sent back stays small however long the texts are."""
+    _, bounds = text_buffers(batch.column(column))
+    for i, j in chunks(bounds, size):
+        yield batch.slice(i, j - i)
+
+
 def split_words(raw: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> Words:
     n = len(raw)
     bounds = np.asarray(bounds, np.int64)
