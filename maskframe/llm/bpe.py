@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from maskframe.llm import words as W
 from maskframe.llm.idstore import IdStore, ragged
-from maskframe.llm.shared import ensure_importable
+from maskframe.llm.shared import ensure_importable, held
 
 REMEMBERED = 1_000_000
 #: Pieces whose ids are kept as Python lists, and bytes of text handled at once.
@@ -347,15 +347,11 @@ def read_vocabulary(path: str) -> dict:
         return json.load(f)
 
 
-_CODERS: dict[int, WordCoder] = {}
-
-
 def _coder(spec: dict) -> WordCoder:
     """One coder per worker process and vocabulary: what it remembers serves the worker's later tasks."""
-    key = hash((len(spec["model"]["merges"]), tuple(map(tuple, spec["model"]["merges"][:1000])), spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]))
-    if key not in _CODERS:
-        _CODERS[key] = WordCoder(spec)
-    return _CODERS[key]
+    merges = spec["model"]["merges"]
+    key = hashlib.sha256(repr((len(merges), merges[:2000], merges[-2000:], spec["pre_tokenizer"])).encode()).hexdigest()
+    return held(f"words-{key}", lambda: WordCoder(spec))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:

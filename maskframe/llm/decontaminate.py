@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm import words as W
-from maskframe.llm.shared import ensure_importable
+from maskframe.llm.shared import ensure_importable, release
 
 U64 = np.uint64
 WINDOW = 10
@@ -246,14 +246,16 @@ def search_shard(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list[n
 _FOUND = "n_words long, hit binary, items array<long>"
 
 
-def _with_findings(docs: DataFrame, block: list, text_col: str, window: int, again: bool) -> DataFrame:
+def _with_findings(docs: DataFrame, block: list, text_col: str, window: int, again: bool, cut: bool) -> DataFrame:
+    """``docs`` with the findings of one block added to those of earlier ones, or with all of them cut from the text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(block)
     names = [c for c in docs.columns if not (again and c in ("_n_words", "_hit", "_items"))]
     at = names.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "_n_words long, _hit binary, _items array<long>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), *([] if cut else ["_n_words long, _hit binary, _items array<long>"])])
 
     def run(batches):
+        release()
         phrases = Phrases(sent.value, window)
         for b in batches:
             counts, hits, items = search_shard(b.column(at), phrases)
@@ -261,19 +263,27 @@ def _with_findings(docs: DataFrame, block: list, text_col: str, window: int, aga
                 old = b.column(b.schema.get_field_index("_hit")).to_pylist()
                 hits = [np.unique(np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 3), h]), axis=0) for o, h in zip(old, hits, strict=True)]
                 items = [o + i for o, i in zip(b.column(b.schema.get_field_index("_items")).to_pylist(), items, strict=True)]
-            done = pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(counts), pa.array([h.tobytes() for h in hits], pa.binary()), pa.array([sorted(set(i)) for i in items], pa.list_(pa.int64()))], [*names, "_n_words", "_hit", "_items"])
-            yield from W.slices(done, at)
+            kept = [b.column(b.schema.get_field_index(c)) for c in names]
+            if cut:
+                found = pa.array([h.tobytes() for h in hits], pa.binary())
+                for part in W.slices(pa.RecordBatch.from_arrays([*kept, found], [*names, "_hit"]), at):
+                    texts = [_cut(t, h) for t, h in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))], names)
+            else:
+                done = pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array([h.tobytes() for h in hits], pa.binary()), pa.array([sorted(set(i)) for i in items], pa.list_(pa.int64()))], [*names, "_n_words", "_hit", "_items"])
+                yield from W.slices(done, at)
 
     return docs.mapInArrow(run, schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """``docs`` with ``_n_words``, ``_hit`` (hit words as int64 triples: first byte, end byte, word number) and ``_items``.
 
     Words are runs of ASCII letters and digits, A-Z in lower case, and all of non-ASCII characters. An item's
     windows are its ``window`` consecutive words, or all its words if it has fewer; no words, no window. A null
     text has no words. An item with a null item_id marks words, but isn't listed; repeated items count once.
-    Rows of ``docs`` keep their number and order of columns, repeated ones too.
+    Rows of ``docs`` keep their number and order of columns, repeated ones too. With ``cut`` the result is ``docs``
+    without the merged spans of hit words.
     """
     ensure_importable(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -283,7 +293,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     for i in range(blocks):
         # a block is bounded: block_bytes of text, but for the spread of the hash
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        out = _with_findings(out, [(r.item_id, r.text) for r in part.where("text is not null").collect()], text_col, window, i > 0)
+        out = _with_findings(out, [(r.item_id, r.text) for r in part.where("text is not null").collect()], text_col, window, i > 0, cut and i == blocks - 1)
     return out
 
 
@@ -311,17 +321,7 @@ def _cut(text: str | None, hit: bytes) -> str | None:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the merged spans of hit words cut from the text; all other characters and rows stay."""
-    names = docs.columns
-    schema = docs.schema
-    found = find_contamination(docs, benchmark, text_col)
-    at = names.index(text_col)
-
-    def run(batches):
-        for b in (part for batch in batches for part in W.slices(batch, at)):
-            texts = [_cut(t, h) for t, h in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
-
-    return found.select(*names, "_hit").mapInArrow(run, schema)
+    return find_contamination(docs, benchmark, text_col, cut=True)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = WINDOW) -> dict:

@@ -30,6 +30,8 @@ U64 = np.uint64
 #: Signatures of one reduce group, and bytes of sets of one joining task.
 SIGNATURES_PER_GROUP = 2_000_000
 BIN_BYTES = 16 << 20
+#: Bytes of text whose signatures are settled among each other before they are sent.
+SLICE_BYTES = 6 << 20
 MAX_CLUSTER_BYTES = 48 << 20
 #: The trie has nodes at these depths; an edge holds the values between two of them.
 _DEPTHS = [0, 4, 12, 28, 60, 124, 252, 508]
@@ -110,6 +112,10 @@ def _signature_rows(k: int, num: int, den: int, groups: int):
     seen: set[int] = set()
 
     def f(batch: pa.RecordBatch):
+        for part in W.slices(batch, 0, SLICE_BYTES):
+            yield from rows_of(part)
+
+    def rows_of(batch: pa.RecordBatch):
         sigs, owners, classes = [], [], []
         for _, w in W.batches(batch.column(0), table):
             for s in W.shingle_sets(w, k):
@@ -295,15 +301,16 @@ def _member_sets(k: int):
     table = W.space_table(lower=True)
 
     def f(batch: pa.RecordBatch):
-        wanted = batch.column(1).to_pylist()
-        keep, values = [], []
-        for at, w in W.batches(batch.column(0), table):
-            for i, s in enumerate(W.shingle_sets(w, k)):
-                if set_class(s) == wanted[at + i]:
-                    keep.append(at + i)
-                    values.append(s.tobytes())
-        rows = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3), rows.column(4), pa.array(values, pa.binary())], ["cls", "cluster", "bin", "chunks", "values"])
+        for part in W.slices(batch, 0):
+            wanted = part.column(1).to_pylist()
+            keep, values = [], []
+            for at, w in W.batches(part.column(0), table):
+                for i, s in enumerate(W.shingle_sets(w, k)):
+                    if set_class(s) == wanted[at + i]:
+                        keep.append(at + i)
+                        values.append(s.tobytes())
+            rows = part.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3), rows.column(4), pa.array(values, pa.binary())], ["cls", "cluster", "bin", "chunks", "values"])
 
     return f
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from maskframe.llm import words as W
-from maskframe.llm.shared import ensure_importable
+from maskframe.llm.shared import ensure_importable, release
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Decimal digits of guesses from which a credential value counts as a secret, and the least length of one.
@@ -226,6 +226,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
         return "".join([*out, text[cursor:]]) if out else text
 
     def run(batches):
+        release()
         for b in (part for batch in batches for part in W.slices(batch, at)):
             texts = [redact(t, fs) for t, fs in zip(b.column(at).to_pylist(), scan_batch(b.column(at)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)

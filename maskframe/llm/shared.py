@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import sys
 import uuid
@@ -16,6 +19,26 @@ DEFAULT_SHARED = "/tmp/checkpoints"
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """An object that a worker process keeps for its later tasks; it keeps one at a time."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what another operator has left in this worker process, and of the memory behind it."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Python workers of this session can import the package from where the driver has it."""
     env = spark.sparkContext.environment
@@ -49,6 +72,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordB
     ensure_importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             yield from f(b)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from maskframe.llm import words as W
 from maskframe.llm.idstore import IdStore
-from maskframe.llm.shared import ensure_importable, shared_folder
+from maskframe.llm.shared import ensure_importable, held, shared_folder
 
 END_ID = 0
 REMEMBERED = 1_000_000
@@ -130,15 +130,9 @@ class ChunkEncoder:
         return flat, counts
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def _encoder(vocabulary: str) -> ChunkEncoder:
     """One encoder per worker process and vocabulary: what it remembers serves the worker's later tasks."""
-    key = hashlib.sha256(vocabulary.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(vocabulary)
-    return _ENCODERS[key]
+    return held(f"chunks-{hashlib.sha256(vocabulary.encode()).hexdigest()}", lambda: ChunkEncoder(vocabulary))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm import words as W
-from maskframe.llm.shared import ensure_importable
+from maskframe.llm.shared import ensure_importable, release
 
 U64 = np.uint64
 SAMPLE = 10_000
@@ -184,6 +184,7 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{score_col}` double"])
 
     def run(batches):
+        release()
         w, b0 = sent.value
         for b in batches:
             for part in W.slices(b, at):
