@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as on one machine.
 DEFAULT_SHARED = "/tmp/checkpoints"
+#: Whole documents are long: ten thousand of them are held several times over on either side of the socket.
+BATCH_ROWS, BATCH_BYTES = 2500, "12m"
+#: Memory settings of workers: large buffers go back to the system when they are freed.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_ARENA_MAX": "2"}
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -40,8 +44,15 @@ def release() -> None:
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Python workers of this session can import the package from where the driver has it."""
+    """Python workers of this session can import the package from where the driver has it, and get texts in batches
+    of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES``, unless the session asks for another number than Spark's own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     have = env.get("PYTHONPATH", "")
     if PACKAGE_ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (have, PACKAGE_ROOT) if x)
