@@ -2,7 +2,8 @@
 
 Rows with equal texts form a group and go to one shard; a group that is heavier than a whole shard in any of the
 three dimensions is cut into pieces by its rows' ids. Groups are placed heaviest first, each in the shard whose
-residual capacity has the largest dot product with the group's size, both as shares of a shard's capacity.
+residual capacity has the largest dot product with the group's size, both as shares of a shard's capacity. A closing
+pass moves single items between the fullest and the emptiest shard to even out the bytes.
 
 At most ``LARGE`` groups a shard are placed one by one: those with at least 1 / LARGE of a shard in some dimension,
 of which there can't be more than 3 * LARGE a shard. The rest are dealt into a fixed number of bundles by the hash of
@@ -41,7 +42,23 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
         best = int(np.argmax(score))
         out[i] = best
         residual[best] -= s
-    return out
+    return even_bytes(sizes[:, 0], out, shards)
+
+
+def even_bytes(size: np.ndarray, shard: np.ndarray, shards: int, moves: int = 1000) -> np.ndarray:
+    """Moves single items from the fullest shard to the emptiest while that brings their bytes nearer."""
+    load = np.bincount(shard, size, minlength=shards)
+    for _ in range(moves):
+        full, empty = int(load.argmax()), int(load.argmin())
+        gap = load[full] - load[empty]
+        mine = np.flatnonzero((shard == full) & (size > 0) & (size < gap))
+        if gap <= 1e-4 * max(load.mean(), 1) or not len(mine):
+            break
+        i = mine[np.abs(size[mine] - gap / 2).argmin()]
+        shard[i] = empty
+        load[full] -= size[i]
+        load[empty] += size[i]
+    return shard
 
 
 def pack_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
