@@ -181,13 +181,15 @@ def host_main_text(sources: list[str | None]) -> list[str]:
     numbers: dict[str, int] = {}
     streams = [[numbers.setdefault(w, len(numbers)) for w in x[3].split(" ")] for x in flat]
     size = np.array([len(s) for s in streams])
-    # pages that share their longest block are copies of one article
-    longest: dict[int, tuple[int, str]] = {}
+    # pages that share their longest block are copies of one article; a block on most pages names no article
+    on: dict[str, set[int]] = {}
     for p, _, _, t in flat:
-        if len(t) > longest.get(p, (0, ""))[0]:
-            longest[p] = (len(t), t)
+        on.setdefault(t, set()).add(p)
+    longest: dict[int, tuple[bool, int, str]] = {}
+    for p, _, _, t in flat:
+        longest[p] = max(longest.get(p, (False, 0, "")), (2 * len(on[t]) <= len(pages), len(t), t))
     names: dict[str, int] = {}
-    article = np.array([names.setdefault(longest[p][1], len(names)) for p in page.tolist()])
+    article = np.array([names.setdefault(longest[p][2], len(names)) for p in page.tolist()])
     # each block is closed by a separator of its own, so no span crosses blocks
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     tokens = np.zeros(int((size + 1).sum()), np.int64)
