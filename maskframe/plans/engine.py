@@ -12,6 +12,15 @@ from maskframe.operators.overlap import resolve_overlaps
 from maskframe.operators.redaction import items, render, summary
 
 
+def spread(docs: DataFrame, per_core: int = 2) -> DataFrame:
+    """``docs`` dealt out over all cores where a scan has too few pieces for them, as one file of one row group has.
+
+    Detection costs far more than moving a small input once; a scan of many pieces is left as it is.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= per_core * cores else docs.repartition(per_core * cores)
+
+
 def find_spans(docs: DataFrame, options: Options | None = None, manual: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", page: int = 0) -> DataFrame:
     """``docs`` with ``spans``, the resolved findings, and ``unresolved``, the ids of marked spans that weren't found.
 

@@ -41,7 +41,8 @@ EXAMPLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return E.spread(df) if {"text", "html"} & set(columns) else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
