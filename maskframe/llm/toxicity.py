@@ -114,8 +114,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = 1.0, decay:
         p = float(y.mean()) if len(y) else 0.0
         return weights, float(np.log((p + 1e-3) / (1 - p + 1e-3)))
     size = np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
-    feature = np.concatenate(rows).astype(np.int64)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    feature = np.concatenate(rows)
     n, ones = len(rows), y > 0
     with_one = np.bincount(feature[ones[doc]], minlength=1 << BITS)
     with_zero = np.bincount(feature[~ones[doc]], minlength=1 << BITS)
@@ -125,7 +125,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = 1.0, decay:
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     keep = place[feature] >= 0
-    doc, feature = doc[keep], place[feature[keep]]
+    doc, feature = doc[keep].astype(np.int64), place[feature[keep]]
     words, brought = _identity_features()
     # a swap takes out one term's features and puts in the next term's; the penalty is on the difference's weight
     swaps_out, swaps_in = [], []
