@@ -25,6 +25,8 @@ SAMPLE = 10_000
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 8)
 THRESHOLD = 0.7
+#: Added to the logarithm of the number of features tried: what a feature's evidence must exceed.
+MARGIN = -1.0
 
 # Words for groups of people, English, French, German and Spanish.
 IDENTITY_TERMS = """women men woman man girls boys muslims muslim christians christian jews jewish hindus hindu buddhists
@@ -119,9 +121,15 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = 1.0, decay:
     n, ones = len(rows), y > 0
     with_one = np.bincount(feature[ones[doc]], minlength=1 << BITS)
     with_zero = np.bincount(feature[~ones[doc]], minlength=1 << BITS)
-    p1, p0 = (with_one + 0.5) / (ones.sum() + 1), (with_zero + 0.5) / ((~ones).sum() + 1)
-    z = (p1 - p0) / np.sqrt(p1 * (1 - p1) / (ones.sum() + 1) + p0 * (1 - p0) / ((~ones).sum() + 1) + 1e-12)
-    used = np.flatnonzero((with_one >= 3) & (p1 > 4 * p0) & (z > 1.7))
+    seen_in = with_one + with_zero
+    share_one = ones.sum() / n
+    # how unlikely a feature's split between the classes is by chance, as a log likelihood ratio, against the number
+    # of features that are tried
+    part = np.maximum(with_one / np.maximum(seen_in, 1), 1e-9)
+    rest = np.maximum(with_zero / np.maximum(seen_in, 1), 1e-9)
+    odd = with_one * np.log(part / share_one) + with_zero * np.log(rest / (1 - share_one))
+    tried = max(int((seen_in >= 3).sum()), 2)
+    used = np.flatnonzero((with_one >= 3) & (part > 0.6 + 0.4 * share_one) & (odd > np.log(tried) + MARGIN))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     keep = place[feature] >= 0
