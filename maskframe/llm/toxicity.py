@@ -1,13 +1,14 @@
 """Toxicity: a logistic classifier of words and word beginnings, kept from reacting to who is mentioned.
 
-Features are hashed words, their beginnings of 3 to 8 bytes, and nothing else; a document has each at most
-once. Beside the log loss, training penalises the squared change of a document's logit when its identity terms are
-swapped for others of their list, and weights are shrunk towards zero. A document without an identity term takes
-part in that penalty with one put in, so that every term's weight is held near zero unless labels need it.
+Features are hashed words, their beginnings of 3 to 8 bytes, and nothing else; a document has each at most once. Only
+features whose split between the classes is unlikely by chance, given how many are tried, and that are mostly in
+toxic documents take part, and their weights can't fall below zero: toxicity is the presence of something, so length
+and neutral words can't make up for it. Beside the log loss, training penalises the squared change of a document's
+logit when its identity terms are swapped for others of their list, and weights are shrunk towards zero. A term that
+no training document has counts as mentioned once.
 
 Training uses at most ``SAMPLE`` labelled documents, those with the smallest hashes of their ids; the bound is a
-parameter. Scoring is one map over all whole
-texts with the weights as a table of fixed size.
+parameter. Scoring is one map over all whole texts with the weights as a table of fixed size.
 """
 
 from __future__ import annotations
