@@ -146,3 +146,17 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     write_redacted(redact_stream(stream, Options.only("email")).select("doc_id", "redacted"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first().redacted == "[REDACTED]"
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    import datetime
+
+    from maskframe.streaming.stream import windowed_counts
+
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    spark.createDataFrame([(1, at(1), "a@x.co b@x.co"), (2, at(1), "c@x.co"), (3, at(5), "none")], "doc_id long, ts timestamp, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id long, ts timestamp, text string").parquet(str(tmp_path / "in"))
+    q = windowed_counts(stream, "ts", "1 hour", options=Options.only("email")).writeStream.format("memory").queryName("pii_counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.category, r.n_spans) for r in spark.table("pii_counts").collect()] == [("email", 3)]
