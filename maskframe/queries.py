@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.functions import validators as V
-from maskframe.functions.patterns import IPV6
+from maskframe.functions.patterns import IPV6, NAME_PATTERNS
 from maskframe.functions.registry import CATEGORIES, Options, pseudonym_key, registry_table
 from maskframe.operators import pages as P
 from maskframe.operators import redaction as R
@@ -36,6 +36,7 @@ EXAMPLES = (
     "call +1 (415) 555-2671 or 054-399-0303, values 1 2 3 4 5 6 7 8",
     "routing 021000021, order 021000021, id 123456782 not 123456789, account 12345678901234567890",
     "Passport No: X1234567; Driver's Licence No: D1234-5678; zip 62704-1234 and SW1A 1AA and M5V 3L9",
+    "Dr. Jane Roe and John Smith met at 123 Main Street in New York, seen by Mrs Anna O'Neil-Katz",
     "hosts 10.0.0.1 and 999.1.1.1 and fe80::1, see https://ex.com/a?b=1, www.foo.org/x.",
 )
 
@@ -125,7 +126,15 @@ _IL_ID = "list_sum(list_transform(range(1, 10), lambda k: (CAST(substr(d, k, 1)
 _ABA = "(3 * (CAST(substr(f, 1, 1) AS INT) + CAST(substr(f, 4, 1) AS INT) + CAST(substr(f, 7, 1) AS INT)) + 7 * (CAST(substr(f, 2, 1) AS INT) + CAST(substr(f, 5, 1) AS INT) + CAST(substr(f, 8, 1) AS INT)) + CAST(substr(f, 3, 1) AS INT) + CAST(substr(f, 6, 1) AS INT) + CAST(substr(f, 9, 1) AS INT)) % 10 = 0"
 _MOD97 = "list_reduce(list_transform(string_split(substr(k, 5) || substr(k, 1, 4), ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN CAST(ascii(x) - 48 AS BIGINT) ELSE CAST(ascii(x) - 55 AS BIGINT) END), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END, CAST(0 AS BIGINT)) = 1"
 
+
+
+def _re2(pattern: str) -> str:
+    return pattern.replace("{b}", r"\b").replace("{s}", r"\s").replace(r"\p{L}", r"\pL")
+
+
 DETECTOR_SQL = {
+    "person": _extract_sql(*((_re2(p.regex), 0) for p in NAME_PATTERNS["person"])),
+    "place": _extract_sql(*((_re2(p.regex), 0) for p in NAME_PATTERNS["place"])),
     "email": _extract_sql((r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0)),
     "url": _extract_sql((r"""\b(?:https?://|www\.)[^\s<>()\[\]{}"'“”‘’]+[^\s<>()\[\]{}"'“”‘’.,;:!?]""", 0)),
     "date": _extract_sql(
