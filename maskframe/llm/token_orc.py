@@ -173,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
-        .option("compression", "zstd")
+        .option("compression", "lz4")
         .orc(path)
     )
 
