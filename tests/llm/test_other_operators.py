@@ -148,6 +148,24 @@ def test_large_hosts_are_dealt_into_parts(spark, monkeypatch):
     assert len(got) == 100 and all(r.text == f"own {r.page_id} text of this page alone" for r in got)
 
 
+def test_evidence_is_the_same_at_every_host_size(spark, monkeypatch):
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    sponsor, line, quote = "this story was brought to you by the friends of the river", "short line", own(12)
+    pages = []
+    for i in range(120):
+        parts = [f"<p>{own(30)}</p>", f"<div>the house line that most of the pages of this host hold {'' if i % 3 else own(40)}</div>"]
+        parts += [f"<div>{sponsor}</div>"] * (i % 10 == 0) + [f"<div>{line}</div>"] * (i % 40 == 0) + [f"<p>{quote}</p>"] * (i in (7, 77))
+        pages.append("".join(f"<article>{x}</article>" for x in parts) if i % 4 == 1 else "".join(parts))
+    pages += [pages[2]] * 5 + [None, "", "<article><p>one</p></article>"]
+    df = spark.createDataFrame([(i, f"https://h.example.com/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    whole = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert len(whole) == len(pages) and not any(sponsor in t or line in t for t in whole.values()) and quote in whole[7]
+    monkeypatch.setattr(html_extract, "PAGES", 10)
+    dealt = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert dealt == whole
+
+
 def test_pipeline(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
