@@ -4,7 +4,7 @@ Vectors are dealt into shards of bounded size by the hash of their ids. A shard
 projections, its vectors sorted by the projected value. A query opens a window around its own value in every sorted
 array and widens all windows together (virtual rehashing: the same arrays serve every radius); a vector that falls
 into at least ``threshold`` of the windows is verified with its exact distance. The search of a shard ends when
-enough vectors are verified, or when the k-th distance found is below what wider windows could improve. The k best of
+enough different vectors are verified (equal ones are indexed and counted once), or when the k-th distance found is below what wider windows could improve. The k best of
 each shard are merged per query.
 
 Every query visits every shard: a query's copies stream past the shard's index in blocks after the shard's vectors,
@@ -31,7 +31,8 @@ QUERY_BLOCK = 256
 @dataclass(frozen=True)
 class Settings:
     """``projections`` arrays; a vector needs ``threshold`` of them; windows grow by ``growth`` from ``first`` of the
-    spread of a projection; a shard's search verifies at least ``verify`` of its vectors and ``verify_least``."""
+    spread of a projection; a shard's search verifies different vectors, at least ``verify`` times the number of its
+    rows and ``verify_least``."""
 
     projections: int = 128
     threshold: float = 0.66
@@ -44,7 +45,12 @@ class Settings:
 
 class CollisionIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, s: Settings):
-        self.ids, self.vectors, self.s = ids, vectors, s
+        # the rows of each different vector lie side by side in ``ids``, smallest id first; 0.0 and -0.0 are equal
+        raw = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, vectors.shape[1] * 8))).reshape(-1)
+        _, first, group, self.copies = np.unique(raw, return_index=True, return_inverse=True, return_counts=True)
+        self.ids, self.at = ids[np.lexsort((ids, group))], np.cumsum(self.copies) - self.copies
+        self.vectors, self.s = vectors[first], s
+        vectors = self.vectors
         rng = np.random.default_rng([s.seed, vectors.shape[1]])
         self.directions = rng.standard_normal((vectors.shape[1], s.projections))
         h = vectors @ self.directions
@@ -55,15 +61,15 @@ class CollisionIndex:
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, distances) of the k nearest found of each query, itself left out; ties to smaller ids."""
-        n, m, nq = len(self.ids), self.s.projections, len(queries)
+        n, m, nq = len(self.vectors), self.s.projections, len(queries)
         h = queries @ self.directions
         centre = np.stack([np.searchsorted(self.sorted[j], h[:, j]) for j in range(m)], 1)
         low, high = centre.copy(), centre.copy()
         counts = np.zeros((nq, n), np.uint16)
         tried = np.zeros((nq, n), bool)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * nq
-        enough = min(n, max(self.s.verify_least, int(self.s.verify * n)) + k)
-        seen = np.zeros(nq, np.int64)
+        enough = min(n, max(self.s.verify_least, int(self.s.verify * len(self.ids))) + k)
+        seen, rows = np.zeros(nq, np.int64), np.zeros(nq, np.int64)
         live = np.arange(nq)
         half = self.scale * self.s.first
         flat = self.order
@@ -81,15 +87,18 @@ class CollisionIndex:
                 if len(new):
                     tried[q, new] = True
                     seen[q] += len(new)
-                    ids = self.ids[new]
-                    d = np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(1))
+                    rows[q] += self.copies[new].sum()
+                    # of equal vectors the k smallest ids but the query's own can be among the best
+                    size = np.minimum(self.copies[new], k + 1)
+                    ids = self.ids[np.repeat(self.at[new] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    d = np.repeat(np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(1)), size)
                     other = ids != own[q]
                     ids, d = np.concatenate([best[q][0], ids[other]]), np.concatenate([best[q][1], d[other]])
                     keep = np.lexsort((ids, d))[:k]
                     best[q] = (ids[keep], d[keep])
                 whole = (high[q] - low[q]).min() == n
                 # windows of this half-width hold most vectors within half / 1.2 of the query
-                certain = len(best[q][0]) == k and best[q][1][-1] * 1.2 <= half and seen[q] >= k + 1
+                certain = len(best[q][0]) == k and best[q][1][-1] * 1.2 <= half and rows[q] >= k + 1
                 if whole or certain or seen[q] >= enough:
                     done.append(q)
             live = np.setdiff1d(live, done)

@@ -120,6 +120,22 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_copies_do_not_end_a_search():
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((6000, 32))
+    v[2000:5000] = 0.01
+    ids, asked = np.arange(6000), np.concatenate([np.arange(0, 2000, 100), [2000]])
+    found = ann.CollisionIndex(ids, v, ann.Settings()).search(v[asked], asked, 10)
+    hits = 0
+    for q, (got, d) in zip(asked.tolist(), found, strict=True):
+        true = np.sqrt(((v - v[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, true)).tolist() if i != q][:10]
+        assert np.allclose(d, true[got]) and q not in got
+        hits += len(set(order) & set(got.tolist()))
+    assert found[-1][0].tolist() == list(range(2001, 2011))
+    assert hits >= 0.97 * 10 * len(asked)
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a>Home</a></nav><div class="sidebar">side</div><div class="ad">buy</div>
 <main><article class="post"><h1>Title &amp; more</h1><p>One <b>two</b>
  three<br>four</p><aside>related</aside><script>var t="</p>";</script><section id="comments"><article>bad</article></section><form>f</form><p>Last&nbsp;one<ul><li>a<li>b</ul></article></main><footer>x</footer>"""
