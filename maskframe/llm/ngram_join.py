@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from maskframe.llm import words as W
 from maskframe.llm.shared import connected_components, ensure_importable, map_batches, shuffle_width, stored
@@ -315,8 +316,8 @@ def _member_sets(k: int):
     return f
 
 
-def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents linked by Jaccard similarity >= num / den of k-word shingles.
+def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) and, if asked for, cls and root, the names of the row's set and of its component: documents linked by Jaccard similarity >= num / den of k-word shingles.
 
     Words are runs of bytes but ASCII white space, with A-Z in lower case; a document of fewer than k words is
     one shingle; without words or with a null text its set is empty and it is linked with nothing. component_id
@@ -361,23 +362,48 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
         joined = held.groupBy("bin").applyInArrow(_join_bin(num, den), "a long, b long")
         if large:
             joined = connected_components(joined).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    named = classes.select("cls", "first_id")
+    named = classes.select("cls", "first_id", F.col("cls").alias("root"))
     if joined is not None:
         rooted = named.join(joined.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "first_id", F.coalesce("b", "cls").alias("root"))
         rooted = stored(rooted, "rooted")
         least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-        named = rooted.join(least, "root").select("cls", F.col("component").alias("first_id"))
+        named = rooted.join(least, "root").select("cls", F.col("component").alias("first_id"), "root")
     out = sets.join(named, "cls", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id"), *(["cls", "root"] if with_class else []))
+
+
+def _class_of_rows(k: int):
+    table = W.space_table(lower=True)
+
+    def f(batch: pa.RecordBatch):
+        at = batch.schema.get_field_index("text")
+        for part in W.slices(batch, at):
+            cls = [set_class(s) for _, w in W.batches(part.column(at), table) for s in W.shingle_sets(w, k)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cls, pa.int64())], [*part.schema.names, "_cls"])
+
+    return f
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents, all columns, without those that a document of smaller doc_id of their component stands for.
+    """The documents, all columns, one of each component: a row with its smallest doc_id.
 
-    Of rows that repeat a doc_id all stay when that id is its component's smallest. Documents with no words and
-    those without an id stay.
+    Rows that repeat a doc_id are documents of their own: only those go whose own set is linked. Of several rows of a
+    component with its smallest doc_id one stays, of the set with the smallest name; of those with that set the first
+    in the order of text. Documents with no words and those without an id stay.
     """
-    found = similarity_components(docs, k, num, den)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
+    found = similarity_components(docs, k, num, den, with_class=True).where("doc_id is not null")
+    goes = (F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count(F.when(goes, 1)).alias("going")).where("going > 0 or rows > 1")
+    ids = stored(ids.select(F.col("doc_id").alias("_id"), (F.col("going") < F.col("rows")).alias("_repeated")), "ids")
+    stay = docs.join(ids.select("_id").hint("merge"), docs["doc_id"] == F.col("_id"), "left_anti")
+    repeated = ids.where("_repeated")
+    if repeated.isEmpty():
+        return stay
+    # ids whose rows don't all go: their rows are told apart by their sets
+    mine = docs.join(repeated.select("_id").hint("merge"), docs["doc_id"] == F.col("_id"), "left_semi")
+    rows = stored(map_batches(mine, _class_of_rows(k), StructType([*docs.schema.fields, StructField("_cls", LongType())])), "repeated")
+    kept = found.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id", "root").agg(F.min("cls").alias("_cls")).select(F.col("doc_id").alias("_id"), F.col("_cls").alias("_kept"))
+    one = rows.where(F.col("_cls") != 0).groupBy("doc_id", "_cls").agg(F.min_by(F.struct(*docs.columns), "text").alias("_row"))
+    one = one.join(kept.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_cls") == F.col("_kept")), "left_semi").select("_row.*")
+    return stay.unionByName(rows.where("_cls = 0").drop("_cls")).unionByName(one)

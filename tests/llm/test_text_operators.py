@@ -50,6 +50,16 @@ def test_ngram_join_keeps_one(docs):
     assert ngram_join.keep_one_of_each(docs).columns == ["doc_id", "text", "cls"]
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = text("a").replace("a30", "other")
+    rows = [(1, text("a")), (1, text("a").upper()), (1, near), (2, text("a")), (2, text("b")), (2, ""), (2, None), (3, text("c")), (3, text("d")), (4, text("c")), (5, text("d")), (None, text("a")), (6, text("e"))]
+    kept = sorted(((r.doc_id or 0, r.text) for r in ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    first = [x for x in kept if x[0] == 1]
+    assert len(first) == 1 and first[0][1] in (near, text("a").upper())
+    assert [x for x in kept if x[0] != 1] == sorted([(0, text("a")), (2, text("b")), (2, ""), (2, None), (3, text("c")), (3, text("d")), (6, text("e"))], key=str)
+
+
 def test_trie_components_on_random_sets():
     import random
 
