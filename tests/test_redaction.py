@@ -1,8 +1,10 @@
 """Overlaps, exact values, marked spans, tokens, summaries, segments."""
 
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskframe.functions.kernel import SPAN
@@ -10,6 +12,7 @@ from maskframe.functions.registry import CATEGORIES, Options, all_categories, ca
 from maskframe.operators import redaction as R
 from maskframe.operators.overlap import resolve_overlaps
 from maskframe.plans.engine import all_category_counts, category_rollup, find_spans, group_warnings, redact, redact_spans
+from maskframe.queries import queries
 
 PRIORITY = {c.name: c.priority for c in CATEGORIES}
 WORD = re.compile(r"[^\W]", re.UNICODE)
@@ -145,3 +148,18 @@ def test_registry(spark):
 def test_no_category_no_work(spark):
     r = one(spark, "a@x.co", options=Options(frozenset()))
     assert r.redacted == "a@x.co" and r.summary.total == 0
+
+
+def test_mode_queries_cover_all_documents_and_categories(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables aren't here")
+    expected = {r.doc_id: r.total for r in queries()["redact_documents"](spark, folder).collect()}
+    found = redact(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")).select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.category").collect()
+    others = {(r.doc_id, r.category) for r in found} - {(r.doc_id, r.category) for r in found if r.category in ("email", "ipAddress")}
+    assert len({c for _, c in others}) >= 3
+    for mode in ("label", "pseudonym"):
+        got = {r.doc_id: r for r in queries()[f"redact_{mode}"](spark, folder).collect()}
+        assert {d: r.total for d, r in got.items()} == expected
+        sign = (lambda c: f"[{c.label}]") if mode == "label" else (lambda c: f"[{c.prefix}_")
+        assert all(sign(category(c)) in got[d].redacted for d, c in others), mode
