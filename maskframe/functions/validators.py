@@ -61,17 +61,13 @@ def phone(x: Column) -> Column:
     return ~x.rlike(_ISO_SHAPE) & ~x.rlike(_NUMERIC_SHAPE) & (max_digit_run(x) >= 2) & F.length(digits(x)).between(7, 15)
 
 
-def account(x: Column) -> Column:
-    return ~x.rlike(_ISO_SHAPE) & ~x.rlike(_NUMERIC_SHAPE) & (F.length(digits(x)) >= 9)
-
-
 VALIDATORS: dict[str, Callable[[Column], Column]] = {
     "iban": iban,
     "card": card,
     "phone": phone,
     "national_id": israeli_id,
     "aba": aba,
-    "account": account,
+    "pem": lambda x: x.rlike(r"-----END [A-Z ]*PRIVATE KEY-----\z"),
     "not_unspecified": lambda x: x != "::",
     "grouped_number": lambda x: max_digit_run(x) >= 2,
 }

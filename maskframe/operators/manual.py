@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.functions.kernel import SPAN, scan
+from maskframe.functions.kernel import SPAN, Scan, scan
 from maskframe.functions.registry import SPACE
 from maskframe.operators.literal import literal_pattern_column
 
@@ -35,7 +35,7 @@ def resolve_manual(text: Column, manual: Column, page: int | Column = 0) -> Colu
     def one(m: Column) -> Column:
         at = F.when(F.substr(text, m["start"] + 1, m["end"] - m["start"]) == m["text"], m["start"] + 1).otherwise(F.instr(text, m["text"]))
         span = F.struct(F.lit("manual").alias("category"), (at - 1).cast("int").alias("start"), (at - 1 + F.length(m["text"])).cast("int").alias("end"), m["text"].alias("text"))
-        everywhere = scan(text, literal_pattern_column(m["text"]), "manual")
+        everywhere = scan(text, Scan(literal_pattern_column(m["text"]), "manual"))
         found = F.when(m["scope"] == "all", everywhere).when(at > 0, F.array(span)).otherwise(F.array()).cast(SPAN)
         return F.struct(m["id"].alias("id"), found.alias("found"))
 

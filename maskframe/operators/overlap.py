@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskframe.functions.kernel import let
+from maskframe.functions.kernel import code_points, cut, let, sweep
 from maskframe.functions.registry import SPACE, lookup
 
-_SWEPT = "array<struct<category:string,s:int,e:int>>"
+_KEPT = "struct<category:string,s:int,e:int>"
 
 
 def resolve_overlaps(spans: Column, text: Column) -> Column:
@@ -22,24 +22,23 @@ def resolve_overlaps(spans: Column, text: Column) -> Column:
         spans,
         lambda x, i: F.struct(x["start"].alias("s"), lookup(x["category"], "priority").alias("p"), (x["start"] - x["end"]).alias("shorter"), i.alias("i"), x["end"].alias("e"), x["category"].alias("category")),
     )
-    zero = F.struct(F.lit(-1).alias("cursor"), F.array().cast(_SWEPT).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        cursor, out = acc["cursor"], acc["out"]
-        last = F.element_at(out, -1)
-        push = lambda s: F.struct(x["e"].alias("cursor"), F.concat(out, F.array(F.struct(x["category"].alias("category"), s.alias("s"), x["e"].alias("e")))).alias("out"))
-        longer = F.struct(last["category"].alias("category"), last["s"].alias("s"), x["e"].alias("e"))
-        extend = F.struct(x["e"].alias("cursor"), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer)).alias("out"))
-        splits_word = F.substr(text, cursor, F.lit(2)).rlike(r"^[\p{L}\p{N}_]{2}")
-        blank = F.substr(text, cursor + 1, x["e"] - cursor).rlike(rf"^[{SPACE}\p{{P}}\p{{S}}]*$")
-        return (
-            F.when(x["e"] <= cursor, acc)
-            .when(x["s"] >= cursor, push(x["s"]))
-            .when((last["category"] == x["category"]) | splits_word, extend)
-            .when(blank, acc)
-            .otherwise(push(cursor))
-        )
-
-    swept = let(F.array_sort(order), lambda o: F.aggregate(o, zero, step, lambda acc: acc["out"]))
-    found = F.transform(swept, lambda x: F.struct(x["category"].alias("category"), x["s"].alias("start"), x["e"].alias("end"), F.substr(text, x["s"] + 1, x["e"] - x["s"]).alias("text")))
-    return F.when(F.size(spans) > 1, found).otherwise(spans)
+
+    def resolved(codes: Column) -> Column:
+        # the last span may still grow, so it is listed when the next one is kept
+        def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column, Column]:
+            cursor, last = acc["cursor"], acc["last"]
+            beyond = x["e"] > cursor
+            apart = x["s"] >= cursor
+            splits_word = cut(codes, cursor - 1, 2).rlike(r"^[\p{L}\p{N}_]{2}")
+            blank = cut(codes, cursor, x["e"] - cursor).rlike(rf"^[{SPACE}\p{{P}}\p{{S}}]*$")
+            grows = beyond & ~apart & ((last["category"] == x["category"]) | splits_word)
+            new = beyond & (apart | (~grows & ~blank))
+            one = lambda category, s: F.struct(category.alias("category"), s.alias("s"), x["e"].alias("e"))
+            following = F.when(new, one(x["category"], F.greatest(x["s"], cursor))).when(grows, one(last["category"], last["s"])).otherwise(last)
+            return {"cursor": F.when(new | grows, x["e"]).otherwise(cursor), "last": following}, new & (cursor >= 0), F.array(last)
+
+        swept = sweep(F.array_sort(order), {"cursor": F.lit(-1), "last": F.lit(None).cast(_KEPT)}, step, f"array<{_KEPT}>")
+        kept = let(swept, lambda r: F.concat(r["out"], F.array(r["last"])))
+        return F.transform(kept, lambda x: F.struct(x["category"].alias("category"), x["s"].alias("start"), x["e"].alias("end"), cut(codes, x["s"], x["e"] - x["s"]).alias("text")))
+
+    return F.when(F.size(spans) > 1, let(code_points(text), resolved)).otherwise(spans)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskframe.functions.kernel import let
+from maskframe.functions.kernel import code_points, cut, let, sweep
 from maskframe.functions.registry import MODES, REDACTED, all_categories, lookup, pseudonym_key
 
 ITEM = "array<struct<id:string,category:string,text:string,start:int,end:int,replacement:string,kept:boolean>>"
@@ -24,14 +24,34 @@ def replacements(matches: Column, mode: str = "redacted") -> Column:
         return F.transform(matches, lambda x: F.lit(REDACTED))
     if mode == "label":
         return F.transform(matches, lambda x: F.concat(F.lit("["), lookup(x["category"], "label"), F.lit("]")))
-    keys = F.transform(matches, lambda x: F.struct(x["category"].alias("category"), pseudonym_key(x["category"], x["text"]).alias("key")))
-    return let(
-        keys,
-        lambda ks: F.transform(
-            ks,
-            lambda k: F.concat(F.lit("["), lookup(k["category"], "prefix"), F.lit("_"), F.array_position(F.array_distinct(F.filter(ks, lambda o: o["category"] == k["category"])), k).cast("string"), F.lit("]")),
-        ),
-    )
+    return let(matches, _pseudonyms)
+
+
+def _pseudonyms(matches: Column) -> Column:
+    """Tokens of the matches; a value is numbered among its category's by where it first appears.
+
+    Sorted by value, every match learns the place of its value's first one; in order of place, first ones are counted
+    by category, and the others take the number from the place they know.
+    """
+    names = all_categories()
+    number_of = F.create_map(*(F.lit(x) for i, c in enumerate(names) for x in (c, i)))
+    keyed = F.transform(matches, lambda x, i: F.struct(F.concat(x["category"], F.lit("\0"), pseudonym_key(x["category"], x["text"])).alias("key"), i.alias("i")))
+
+    def learn(acc: Column, x: Column) -> tuple[dict[str, Column], None, Column]:
+        first = F.when(acc["key"].eqNullSafe(x["key"]), acc["first"]).otherwise(x["i"])
+        return {"key": x["key"], "first": first}, None, F.array(F.struct(x["i"].alias("i"), first.alias("first")))
+
+    learnt = sweep(F.array_sort(keyed), {"key": F.lit(None).cast("string"), "first": F.lit(-1)}, learn, "array<struct<i:int,first:int>>")["out"]
+    placed = F.transform(F.arrays_zip(F.array_sort(learnt).alias("l"), matches.alias("m")), lambda x: F.struct(x["l"]["i"].alias("i"), x["l"]["first"].alias("first"), F.element_at(number_of, x["m"]["category"]).alias("c")))
+
+    def count(acc: Column, x: Column) -> tuple[dict[str, Column], None, Column]:
+        new = x["i"] == x["first"]
+        counts = F.when(new, F.transform(acc["counts"], lambda n, c: F.when(c == x["c"], n + 1).otherwise(n))).otherwise(acc["counts"])
+        return {"counts": counts}, None, F.array(F.when(new, F.element_at(acc["counts"], x["c"] + 1) + 1).otherwise(0))
+
+    numbers = lambda at: sweep(at, {"counts": F.array_repeat(F.lit(0), len(names))}, count, "array<int>")["out"]
+    token = lambda at: let(numbers(at), lambda ns: F.transform(F.arrays_zip(at.alias("p"), matches.alias("m")), lambda x: F.concat(F.lit("["), lookup(x["m"]["category"], "prefix"), F.lit("_"), F.element_at(ns, x["p"]["first"] + 1).cast("string"), F.lit("]"))))
+    return let(placed, token)
 
 
 def items(matches: Column, mode: str = "redacted", excluded: Column | None = None, page: Column | None = None, source: str = "text") -> Column:
@@ -55,12 +75,10 @@ def exclude(listed: Column) -> Column:
 
 def summary(listed: Column) -> Column:
     """struct(counts, total, items): counts has every category, and leaves out kept items, as total does."""
-    cut = exclude(listed)
-    counts = F.map_from_arrays(
-        F.array(*(F.lit(c) for c in all_categories())),
-        F.transform(F.array(*(F.lit(c) for c in all_categories())), lambda c: F.size(F.filter(cut, lambda x: x["category"] == c))),
-    )
-    return F.struct(counts.alias("counts"), F.size(cut).alias("total"), listed.alias("items"))
+    names = F.array(*(F.lit(c) for c in all_categories()))
+    cut_out = lambda listed: F.transform(exclude(listed), lambda x: x["category"])
+    counted = lambda cs: F.struct(F.map_from_arrays(names, F.transform(names, lambda c: F.size(cs) - F.size(F.array_remove(cs, c)))).alias("counts"), F.size(cs).alias("total"))
+    return let(cut_out(listed), counted).withField("items", listed)
 
 
 def empty_summary() -> Column:
@@ -69,13 +87,14 @@ def empty_summary() -> Column:
 
 def render(text: Column, listed: Column) -> Column:
     """The text with every item's replacement in its place, kept items left alone."""
-    start = F.struct(F.lit(0).alias("cursor"), F.lit("").alias("out"))
-    done = F.aggregate(
-        exclude(listed),
-        start,
-        lambda acc, x: F.struct(x["end"].alias("cursor"), F.concat(acc["out"], F.substr(text, acc["cursor"] + 1, x["start"] - acc["cursor"]), x["replacement"]).alias("out")),
-    )
-    return F.when(text.isNotNull(), let(done, lambda d: F.concat(d["out"], F.substr(text, d["cursor"] + 1))))
+
+    def filled(cuts: Column, codes: Column) -> Column:
+        end = lambda i: F.when(i > 0, F.element_at(cuts, F.greatest(i, F.lit(1)))["end"]).otherwise(0)
+        filled_in = F.transform(cuts, lambda x, i: F.concat(cut(codes, end(i), x["start"] - end(i)), x["replacement"]))
+        return F.concat(F.array_join(filled_in, ""), cut(codes, end(F.size(cuts)), F.length(text)))
+
+    done = let(exclude(listed), lambda cuts: F.when(F.size(cuts) > 0, let(code_points(text), lambda codes: filled(cuts, codes))).otherwise(text))
+    return F.when(text.isNotNull(), done)
 
 
 def segments(text: Column, listed: Column) -> Column:
@@ -83,15 +102,19 @@ def segments(text: Column, listed: Column) -> Column:
     usable = F.filter(listed, lambda x: (x["start"] < x["end"]) & (x["end"] <= F.length(text)))
     order = F.transform(usable, lambda x, i: F.struct(x["start"].alias("s"), i.alias("i"), x["end"].alias("e"), x["id"].alias("id")))
     kind = "array<struct<start:int,end:int,text:string,item:string>>"
-    piece = lambda s, e, item: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.substr(text, s + 1, e - s).alias("text"), item.cast("string").alias("item"))
 
-    def step(acc: Column, x: Column) -> Column:
-        plain = F.when(x["s"] > acc["cursor"], F.array(piece(acc["cursor"], x["s"], F.lit(None)))).otherwise(F.array().cast(kind))
-        return F.when(x["s"] < acc["cursor"], acc).otherwise(F.struct(x["e"].alias("cursor"), F.concat(acc["out"], plain, F.array(piece(x["s"], x["e"], x["id"]))).alias("out")))
+    def run(codes: Column) -> Column:
+        piece = lambda s, e, item: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), cut(codes, s, e - s).alias("text"), item.cast("string").alias("item"))
+
+        def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column, Column]:
+            plain = F.when(x["s"] > acc["cursor"], F.array(piece(acc["cursor"], x["s"], F.lit(None)))).otherwise(F.array().cast(kind))
+            fits = x["s"] >= acc["cursor"]
+            return {"cursor": F.when(fits, x["e"]).otherwise(acc["cursor"])}, fits, F.concat(plain, F.array(piece(x["s"], x["e"], x["id"])))
+
+        tail = lambda a: F.when(a["cursor"] < F.length(text), F.concat(a["out"], F.array(piece(a["cursor"], F.length(text), F.lit(None))))).otherwise(a["out"])
+        return let(sweep(F.array_sort(order), {"cursor": F.lit(0)}, step, kind), tail)
 
-    swept = F.aggregate(F.array_sort(order), F.struct(F.lit(0).alias("cursor"), F.array().cast(kind).alias("out")), step)
-    tail = lambda a: F.when(a["cursor"] < F.length(text), F.concat(a["out"], F.array(piece(a["cursor"], F.length(text), F.lit(None))))).otherwise(a["out"])
-    return let(swept, tail)
+    return let(code_points(text), run)
 
 
 def grouped_items(listed: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskframe.functions.kernel import sweep
+
 SEGMENT = "array<struct<src_start:int,src_end:int,view_start:int,view_end:int,ref:int>>"
 
 
@@ -13,16 +15,15 @@ def text_view(parts: Column) -> Column:
 
     ``before`` is glue that belongs to no source; an empty fragment has no segment.
     """
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SEGMENT).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
+    def step(acc: Column, p: Column) -> tuple[dict[str, Column], Column, Column]:
         s = acc["at"] + F.length(p["before"])
         e = s + F.length(p["text"])
         one = F.struct(p["src_start"].alias("src_start"), p["src_end"].alias("src_end"), s.cast("int").alias("view_start"), e.cast("int").alias("view_end"), p["ref"].cast("int").alias("ref"))
-        return F.struct(e.cast("int").alias("at"), F.when(e > s, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        return {"at": e.cast("int")}, e > s, F.array(one)
 
     text = F.array_join(F.transform(parts, lambda p: F.concat(p["before"], p["text"])), "")
-    return F.struct(text.alias("text"), F.aggregate(parts, zero, step, lambda acc: acc["out"]).alias("segments"))
+    return F.struct(text.alias("text"), sweep(parts, {"at": F.lit(0)}, step, SEGMENT)["out"].alias("segments"))
 
 
 def range_to_source(segments: Column, start: Column, end: Column) -> Column:
