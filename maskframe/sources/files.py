@@ -18,9 +18,11 @@ TEXT_PREVIEW_TYPES = ("text/csv", "text/tab-separated-values", "text/markdown",
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """path, name, mime (null: files carry none), content and length of files up to a size, one row a file."""
-    raw = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(None).cast("string").alias("mime"), "content", "length")
+    """path, name, mime (null: files carry none), content and length of files, one row a file; the content of a file
+    over ``max_bytes`` is null, and ``rejected`` says so: it is listed, not dropped."""
+    raw = spark.read.format("binaryFile").load(path)
+    fits = F.col("length") <= max_bytes
+    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(None).cast("string").alias("mime"), F.when(fits, F.col("content")).alias("content"), "length", F.when(~fits, F.lit("too-large")).alias("rejected"))
 
 
 def accepts_upload(name: Column, length: Column) -> Column:
@@ -50,7 +52,7 @@ def redact_files(files: DataFrame, options: Options | None = None, mode: str = "
     read = read.withColumn("text", F.when(is_csv, F.col("view.text")).otherwise(F.col("decoded.text")))
     done = redact_spans(find_spans(read, options, id_col="path"), mode, excluded, id_col="path")
     rebuilt = F.when(is_csv, serialize_csv(F.col("parsed"), redacted_values(F.col("parsed"), F.col("view"), F.col("items")))).otherwise(F.col("redacted"))
-    warnings = F.array_compact(F.array(F.when(F.col("decoded.guessed"), F.struct(F.lit("encoding-guessed").alias("code"), F.concat(F.lit("This file isn't valid UTF-8, so it was read as "), F.col("decoded.encoding"), F.lit(". If the text below looks garbled, that guess was wrong.")).alias("detail")))))
+    warnings = F.array_compact(F.array(F.when(F.col("decoded.guessed"), F.struct(F.lit("encoding-guessed").alias("code"), F.concat(F.lit("no valid UTF-8; decoded by guess with "), F.col("decoded.encoding")).alias("detail")))))
     return done.select(
         "path", "name", F.col("sniffed.format").alias("format"), F.col("sniffed.detail").alias("detail"), "text", "items", "summary", warnings.alias("warnings"),
         encode_text(F.when(is_text, rebuilt), F.col("decoded.had_bom")).alias("output"), output_filename(F.col("name")).alias("output_name"),
