@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,10 +144,49 @@ def test_substring_dedup(docs):
     assert len(rows) == docs.count() and sorted(n for d, n, _ in rows if d == 9) == [60, 60] and [n for d, n, _ in rows if d is None] == [0]
 
 
-def test_factors():
-    import numpy as np
+def test_parse_is_greedy_and_checks_borders():
+    w = lambda a, b: [f"w{i}" for i in range(a, b)]
+    refs = [(1, b" ".join(x.encode() for x in w(0, 30))), (2, b" ".join(x.encode() for x in w(20, 60))), (9, b" ".join(x.encode() for x in w(0, 60)))]
+    text = w(5, 45) + ["new"] + w(0, 14)
+    [(factors, left)] = substring_dedup.parse_block(refs, [(5, " ".join(text).encode())])
+    # the first reference holds w5..w29, the border windows lie in the second; document 9 isn't smaller
+    assert factors == [(0, 25, 0, 5), (15, 25, 1, 0), (41, 14, 0, 0)] and left == [13, 14, *range(28, 41)]
+    assert substring_dedup.parse_block([], [(5, b"a b")]) == [([], [])]
+
+
+def test_dedup_of_random_texts(spark, monkeypatch):
+    import random
 
-    assert substring_dedup.factors(np.array([0, 1, 2, 9])) == [(0, 15), (9, 13)] and substring_dedup.factors(np.zeros(0, np.int64)) == []
+    rnd = random.Random(8)
+    passages = [[f"p{rnd.randrange(60)}" for _ in range(rnd.randint(10, 60))] for _ in range(12)]
+    texts = []
+    for i in range(300):
+        words = []
+        for _ in range(rnd.randint(0, 5)):
+            p = rnd.choice(passages)
+            a = rnd.randrange(len(p))
+            words += p[a : a + rnd.randint(1, 60)] + [f"own{i}_{rnd.randrange(5)}" for _ in range(rnd.randint(0, 6))]
+        texts.append((1000 - i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    expected = substring_dedup.brute_force(texts)
+    results = lambda: {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_duplicates(df).collect()}
+    assert results() == expected and sum(v[1] for v in expected.values()) > 1000
+    # many runs, many copies of a block's references
+    monkeypatch.setattr(substring_dedup, "RUN_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "BLOCK_STRETCHES", 500)
+    assert results() == expected
+
+
+def test_equal_hashes_of_different_windows_are_no_duplicates(spark, monkeypatch):
+    rnd = __import__("random").Random(9)
+    texts = [(i, " ".join(f"x{rnd.randrange(9)}" for _ in range(40))) for i in range(40)] + [(90, "a b " * 20), (91, "a b " * 20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    whole = substring_dedup._groups
+    monkeypatch.setattr(substring_dedup, "_groups", lambda h, d: whole(h % np.uint64(200), d))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_duplicates(df, with_text=True).collect()}
+    expected = {d: v[:2] for d, v in substring_dedup.brute_force(texts).items()}
+    # a window hidden behind another's hash may stay; none goes that isn't a duplicate
+    assert all(got[d][1] <= expected[d][1] for d in expected) and got[0] == expected[0]
 
 
 def test_secrets(spark, docs):
