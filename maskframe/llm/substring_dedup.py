@@ -158,7 +158,7 @@ def _phrase_rows(window: int, groups: int, blocks: int):
             if not len(rows):
                 continue
             packed, heads = _pack(owner[rows], place[rows], a[rows], doc, row)
-            values = {"r": b, "anchor": _bytes(a[rows][heads] // U64(groups), 6), "window": _bytes(h[rows], 3), **{f"s_{n}": v for n, v in zip(_RUNS, packed, strict=True)}}
+            values = {"r": b, "anchor": _bytes(a[rows][heads] // U64(groups), 6), "window": _bytes(h[rows], 5), **{f"s_{n}": v for n, v in zip(_RUNS, packed, strict=True)}}
             values |= once if b == first else dict.fromkeys(once, b"")
             for n, v in values.items():
                 out[n].append(v)
@@ -194,7 +194,7 @@ def _match_group(buckets: int, blocks: int):
                 get = lambda n: batch.column(batch.schema.get_field_index(n))[i].as_buffer()  # noqa: B023, E731
                 d, w, p, sizes = _unpack(*(get(f"s_{n}") for n in _RUNS))
                 anchor = np.repeat(_from_bytes(get("anchor"), 6), sizes)
-                keys.append(W.mix(anchor * U64(0xD6E8FEB86659FD93) + _from_bytes(get("window"), 3)))
+                keys.append(W.mix(anchor * U64(0xD6E8FEB86659FD93) + _from_bytes(get("window"), 5)))
                 sent.append((d, w, p))
                 if get("l_count").size:
                     d, w, p, sizes = _unpack(*(get(f"l_{n}") for n in _RUNS))
