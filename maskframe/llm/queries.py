@@ -30,9 +30,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from maskframe.llm.secrets import secret_report
+    from maskframe.llm.secrets import ranked_words, secret_report
 
-    return secret_report(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return secret_report(_table(spark, sf_dir, "documents", "doc_id", "text"), ranked_words(_vocabulary("word_bpe_49k.json")))
 
 
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 The fixed forms are assignments to credential names, access key ids and long hexadecimal runs. Beside them, every
 value in a credential context (a name of a wider list, then a colon or equals sign) is split by dynamic programming
-at minimum guess cost into common words, dates, repeats, keyboard walks and brute-force stretches; a value whose
-cheapest split takes ``THRESHOLD`` decimal digits of guesses or more is a finding of kind ``guess``.
+at minimum guess cost into ranked words, dates, repeats, keyboard walks and brute-force stretches; a value whose
+cheapest split takes ``THRESHOLD`` decimal digits of guesses or more is a finding of kind ``guess``. The ranked words
+are the whole words of a tokenizer's vocabulary, which lists frequent ones first, behind a few common passwords; letters
+in no word are guessed one by one. The splitting takes time in proportion to the value's length.
 
 A batch is scanned as one byte string with a line feed between documents, which no form contains. Candidates come
 from vectorised class flags (hexadecimal runs, colons and equals signs) or a literal search, so that regular
@@ -13,9 +15,11 @@ expressions only run where one can match.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
-from functools import lru_cache
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,64 +57,104 @@ _STEPS = {(r[i], r[i + d]): d for r in _ROWS for i in range(len(r)) for d in (1,
 # Usual letter substitutions.
 _LEET = str.maketrans({"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "l", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t"})
 _DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/.]?(?:0?[1-9]|1[0-2])(?:[-/.]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d))")
-#: Guesses, in decimal digits, for any plain word that isn't in the list, and its greatest length.
-UNKNOWN_WORD, UNKNOWN_LENGTH = 4.7, 12
+#: The longest word, date, part of a walk or brute-force stretch that is tried; whole walks and repeats are besides.
 _SEGMENT = 24
+#: Values that a worker remembers the cost of.
+_REMEMBERED = 20_000
+
+
+def ranked_words(path: str) -> dict[str, int]:
+    """Ranks of words by a BPE vocabulary file: common passwords first, then its whole words of 3 letters or more in
+    the order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = [w.removesuffix("</w>") for w in sorted(vocabulary, key=vocabulary.get) if w.endswith("</w>")]
+    listed = dict.fromkeys([*COMMON_WORDS, *(w for w in words if len(w) >= 3 and w.isalpha())])
+    return {w: i for i, w in enumerate(listed, 1)}
+
+
+def _classes(c: str) -> int:
+    """The number of the character's class: digits, lower case, upper case, all else."""
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+
+
+_CLASS_SIZE = (10, 26, 26, 33)
 
 
 def _brute(s: str) -> float:
-    classes = (any(c.isdigit() for c in s) * 10, any(c.islower() for c in s) * 26, any(c.isupper() for c in s) * 26, any(not c.isalnum() for c in s) * 33)
-    return len(s) * math.log10(max(10, sum(classes)))
-
-
-def _segments(v: str) -> dict[tuple[int, int], float]:
-    """The cheapest pattern for each span of v that is one."""
-    low, plain = v.lower(), v.lower().translate(_LEET)
-    found: dict[tuple[int, int], float] = {}
-
-    def put(i: int, j: int, cost: float) -> None:
-        found[i, j] = min(cost, found.get((i, j), math.inf))
-
-    for i in range(len(v)):
-        for j in range(i + 3, min(len(v), i + _SEGMENT) + 1):
-            case = 0.0 if v[i:j].islower() or not v[i:j].isalpha() else 0.3 if v[i].isupper() and v[i + 1 : j].islower() else 1.0
-            if rank := _WORD_RANK.get(low[i:j]):
-                put(i, j, math.log10(rank + 1) + case)
-            elif rank := _WORD_RANK.get(plain[i:j]):
-                put(i, j, math.log10(rank + 1) + case + 0.7)
-            elif j - i <= UNKNOWN_LENGTH and v[i:j].isalpha() and (v[i:j].islower() or v[i:j].isupper() or v[i:j].istitle()):
-                put(i, j, UNKNOWN_WORD + case)
-        for m in (_DATE.match(v, i),):
-            if m:
-                put(i, m.end(), 2.2 if m.end() - i <= 4 else 4.6)
-        j, turns, step = i + 1, 0, None
-        while j < len(v) and (d := _STEPS.get((low[j - 1], low[j]))) is not None:
-            turns += step is not None and d != step
-            step = d
-            j += 1
-            if j - i >= 3:
-                put(i, j, math.log10(20 * (j - i)) + 0.6 * turns)
+    return len(s) * math.log10(max(10, sum(_CLASS_SIZE[k] for k in {_classes(c) for c in s})))
+
+
+class GuessCost:
+    """Decimal digits of the guesses for a value, with ranks of words."""
+
+    def __init__(self, ranks: dict[str, int] | None = None):
+        self.ranks = ranks or {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
+        self.known: dict[str, float] = {}
+
+    def segments(self, v: str) -> dict[tuple[int, int], float]:
+        """The cheapest pattern for each span of v that is one."""
+        low, plain, n, ranks = v.lower(), v.lower().translate(_LEET), len(v), self.ranks
+        if len(low) != n:
+            low = plain = v  # letters whose lower case is longer are no words
+        found: dict[tuple[int, int], float] = {}
+
+        def put(i: int, j: int, cost: float) -> None:
+            found[i, j] = min(cost, found.get((i, j), math.inf))
+
+        # how far the walk, and the repeats of each length, reach that start at a character, from the right
+        steps = [_STEPS.get((low[i], low[i + 1])) for i in range(n - 1)]
+        walk = [n] * n
+        for i in range(n - 2, -1, -1):
+            walk[i] = walk[i + 1] if steps[i] is not None else i + 1
+        turns = list(accumulate([0, *(int(a is not None and b is not None and a != b) for a, b in zip(steps, steps[1:]))]))
+        reach = {}
         for unit in (1, 2, 3, 4):
-            j = i + unit
-            while v[j : j + unit] == v[i : i + unit] and j + unit <= len(v):
-                j += unit
-            if j - i >= max(3, 2 * unit):
-                put(i, j, _brute(v[i : i + unit]) + math.log10((j - i) // unit))
-    return found
-
-
-@lru_cache(maxsize=20_000)
-def guess_digits(v: str) -> float:
-    """Decimal digits of the guesses that the cheapest split of v takes."""
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for (i, j), c in _segments(v).items():
-        ends.setdefault(j, []).append((i, c))
-    best = [0.0]
-    for j in range(1, len(v) + 1):
-        options = [(best[i] + c + (0.3 if i else 0)) for i, c in ends.get(j, ())]
-        options += [best[i] + _brute(v[i:j]) + (0.3 if i else 0) for i in range(max(0, j - _SEGMENT), j)]
-        best.append(min(options))
-    return best[-1]
+            r = [n] * n
+            for i in range(n - unit - 1, -1, -1):
+                r[i] = r[i + 1] if v[i] == v[i + unit] else i + unit
+            reach[unit] = r
+        for i in range(n):
+            for j in range(i + 3, min(n, i + _SEGMENT) + 1):
+                word = low[i:j]
+                rank, more = ranks.get(word), 0.0
+                if rank is None:
+                    rank, more = ranks.get(plain[i:j]), 0.7
+                if rank is not None:
+                    part = v[i:j]
+                    case = 0.0 if part.islower() or not part.isalpha() else 0.3 if part[0].isupper() and part[1:].islower() else 1.0
+                    put(i, j, math.log10(rank + 1) + case + more)
+            if m := _DATE.match(v, i):
+                put(i, m.end(), 2.2 if m.end() - i <= 4 else 4.6)
+            for j in {*range(i + 3, min(walk[i], i + _SEGMENT) + 1), walk[i]}:
+                if j - i >= 3:
+                    put(i, j, math.log10(20 * (j - i)) + 0.6 * (turns[j - 2] - turns[i]))
+            for unit, r in reach.items():
+                times = (r[i] - i) // unit
+                if times * unit >= max(3, 2 * unit):
+                    put(i, i + times * unit, _brute(v[i : i + unit]) + math.log10(times))
+        return found
+
+    def digits(self, v: str) -> float:
+        """Decimal digits of the guesses that the cheapest split of v takes."""
+        if v in self.known:
+            return self.known[v]
+        n = len(v)
+        ends: dict[int, list[tuple[int, float]]] = {}
+        for (i, j), c in self.segments(v).items():
+            ends.setdefault(j, []).append((i, c))
+        counts = [list(accumulate([0, *(int(_classes(c) == k) for c in v)])) for k in range(4)]
+        best = [0.0]
+        for j in range(1, n + 1):
+            options = [(best[i] + c + (0.3 if i else 0)) for i, c in ends.get(j, ())]
+            for i in range(max(0, j - _SEGMENT), j):
+                size = sum(_CLASS_SIZE[k] for k in range(4) if counts[k][j] > counts[k][i])
+                options.append(best[i] + (j - i) * math.log10(max(10, size)) + (0.3 if i else 0))
+            best.append(min(options))
+        if len(self.known) >= _REMEMBERED:
+            self.known.clear()
+        self.known[v] = best[-1]
+        return best[-1]
 
 
 def _runs(flag: np.ndarray, least: int) -> np.ndarray:
@@ -123,7 +167,7 @@ _HEX = np.zeros(256, bool)
 _HEX[48:58] = _HEX[97:103] = True
 
 
-def scan_bytes(buf: bytes) -> list[tuple[int, int, int, int, int]]:
+def scan_bytes(buf: bytes, cost: GuessCost) -> list[tuple[int, int, int, int, int]]:
     """(start, kind, end, value's start, value's end) in bytes of all findings, in order."""
     raw = np.frombuffer(buf, np.uint8)
     found = [(s, 2, e, s, e) for s, e in _runs(_HEX[raw], 16).tolist()]
@@ -155,16 +199,17 @@ def scan_bytes(buf: bytes) -> list[tuple[int, int, int, int, int]]:
             if not before.isalnum() and (m := _VALUE.match(buf, p)):
                 values.append((m.start(1), m.end(1)))
         covered = sorted((v, e) for _, _, _, v, e in found)
+        begins, reach = [v for v, _ in covered], list(accumulate((e for _, e in covered), max))
         for s, e in values:
             while e > s and buf[e - 1] in b".)]}":
                 e -= 1
             v = buf[s:e].decode()
-            if len(v) >= LEAST_LENGTH and not any(a <= s and e <= b for a, b in covered if a <= s) and guess_digits(v) >= THRESHOLD:
+            if len(v) >= LEAST_LENGTH and not ((at := bisect_right(begins, s)) and reach[at - 1] >= e) and cost.digits(v) >= THRESHOLD:
                 found.append((s, 3, e, s, e))
     return sorted(set(found))
 
 
-def scan_batch(column: pa.Array) -> list[list[tuple[int, int, int, int, int]]]:
+def scan_batch(column: pa.Array, cost: GuessCost) -> list[list[tuple[int, int, int, int, int]]]:
     """Findings of each text in code points."""
     texts = [(t or "").encode() for t in column.to_pylist()]
     out: list[list] = [[] for _ in texts]
@@ -177,7 +222,7 @@ def scan_batch(column: pa.Array) -> list[list[tuple[int, int, int, int, int]]]:
         some = texts[at:stop]
         first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in some])])
         by: dict[int, list] = {}
-        for f in scan_bytes(b"\n".join(some)):
+        for f in scan_bytes(b"\n".join(some), cost):
             by.setdefault(int(np.searchsorted(first, f[0], "right")) - 1, []).append(f)
         for d, fs in by.items():
             raw = np.frombuffer(some[d], np.uint8)
@@ -192,17 +237,20 @@ def _listed(found: list, kinds: tuple[int, ...]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _, _ in found if k in kinds)
 
 
-def secret_report(docs: DataFrame) -> DataFrame:
+def secret_report(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row; spans in code points, ends exclusive.
 
-    A null text is empty. An assign span is the whole match, from the name on; a guess span is the value. Values that
-    a base finding's value covers aren't listed again.
+    A null text is empty, an empty text or table has no findings. An assign span is the whole match, from the name on;
+    a guess span is the value. Values that a base finding's value covers aren't listed again; findings that start
+    together are listed in the order of kinds. Rows that repeat a doc_id are scanned each on their own, and other
+    columns aren't read. ``ranks`` are those of :func:`ranked_words`, a few ten thousand words.
     """
     ensure_importable(docs.sparkSession)
 
     def run(batches):
+        cost = GuessCost(ranks)
         for b in batches:
-            found = scan_batch(b.column(1))
+            found = scan_batch(b.column(1), cost)
             counts = [[sum(f[1] == k for f in fs) for fs in found] for k in range(3)]
             base = [hashlib.sha256(_listed(fs, (0, 1, 2)).encode()).hexdigest() for fs in found]
             spans = [_listed(fs, (0, 1, 2, 3)) for fs in found]
@@ -211,8 +259,9 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the value of every finding replaced by ``mask``; names and other text stay."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", ranks: dict[str, int] | None = None) -> DataFrame:
+    """``docs`` with the value of every finding replaced by ``mask``; names and other text stay, as do all rows, nulls,
+    empty texts and other columns."""
     ensure_importable(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
@@ -227,8 +276,9 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
 
     def run(batches):
         release()
+        cost = GuessCost(ranks)
         for b in (part for batch in batches for part in W.slices(batch, at)):
-            texts = [redact(t, fs) for t, fs in zip(b.column(at).to_pylist(), scan_batch(b.column(at)), strict=True)]
+            texts = [redact(t, fs) for t, fs in zip(b.column(at).to_pylist(), scan_batch(b.column(at), cost), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
 
     return docs.mapInArrow(run, docs.schema)
