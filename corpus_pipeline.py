@@ -15,7 +15,7 @@ from maskframe.llm.bpe import encode_decode
 from maskframe.llm.decontaminate import remove_contamination
 from maskframe.llm.ngram_join import keep_one_of_each
 from maskframe.llm.queries import _vocabulary
-from maskframe.llm.secrets import redact_secrets
+from maskframe.llm.secrets import ranked_words, redact_secrets
 from maskframe.llm.shared import ensure_importable, shared_folder
 from maskframe.llm.toxicity import reject_toxic
 
@@ -38,7 +38,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The values of secrets are masked in the texts."""
-    return redact_secrets(docs)
+    return redact_secrets(docs, ranks=ranked_words(_vocabulary("word_bpe_49k.json")))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
