@@ -6,7 +6,9 @@ host's pages are concatenated with separators, and their suffixes are sorted up
 spans are neighbours. Spans that occur on pages with different articles are boilerplate: covered blocks go, unique runs stay.
 A page's article element, where it has one, is its main text, and if it has several, the longest of them and those
 others that aren't covered; elsewhere it is every block outside the furniture that isn't covered. Inside an article
-repetition alone removes nothing: articles quote each other and repeat lines that adverts and footers hold too.
+repetition removes those parts whose class or id leaves in doubt whether they are furniture, and nothing else: articles
+quote each other and repeat lines that adverts and footers hold too. Names count as a whole, and a compound by its last
+word, so neither ``social-history`` nor a body that ``has-sidebar`` goes unless its text is repeated.
 
 A host with more than ``PAGES`` pages is dealt into parts by the hash of the page, so that no task holds a whole large
 host. Its evidence is counted over all its pages all the same: spans have 64-bit names, batches of pages name theirs
@@ -46,57 +48,82 @@ RAW_TAGS = frozenset("script style textarea title template noscript iframe svg x
 FURNITURE_TAGS = frozenset("nav aside form menu dialog button select footer search".split())
 CONTAINERS = frozenset("div section ul ol dl table tbody tr td article main header details figure span p li fieldset blockquote head body a".split()) | FURNITURE_TAGS
 FURNITURE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors
-promo promotion promotions banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup signin login register
-sidebar side rail aside nav navbar navigation navigations menu menus submenu breadcrumb breadcrumbs crumbs footer foot
-masthead topbar toolbar bottombar related recommended recommendations popular trending share sharing social follow popup modal overlay
-pagination pager skip widget widgets copyright legal search searchbox paywall tags tagcloud""".split())
-COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion reactions".split())
+promo promotion promotions banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup signin login
+sidebar rail aside nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs footer foot
+masthead topbar toolbar bottombar related recommended recommendations trending share sharing follow popup modal overlay
+pagination pager widget widgets copyright searchbox paywall tagcloud""".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies".split())
 HEADER_WORDS = frozenset("header head sitehead pageheader siteheader".split())
+#: Words that also name articles' own parts: they are hints that repetition must confirm.
+DOUBTFUL_WORDS = frozenset("popular social legal register side skip tags search reply respond discussion reactions".split())
+#: In a compound name the last word says what a thing is; these only say that it holds something.
+HOLDER_WORDS = frozenset("slot box unit bar list links posts articles items buttons widget wrap wrapper container block area panel inner outer section content text row column".split())
+#: A name that begins so says something about the element around it.
+STATE_WORDS = frozenset("has no is with without show hide".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_TAG_END = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-OTHER, ARTICLE, REMOVED, COMMENTS = 0, 1, 2, 3
+OTHER, ARTICLE, DOUBTFUL, REMOVED, COMMENTS = 0, 1, 2, 3, 4
+
+
+def _hint(name: str) -> tuple[str, bool]:
+    """What one class or id says: "comments", "furniture", "header" or nothing, and whether without a doubt."""
+    kinds = (("comments", COMMENT_WORDS), ("furniture", FURNITURE_WORDS), ("header", HEADER_WORDS))
+    words = [name.lower()] if name.lower() in COMMENT_WORDS | FURNITURE_WORDS | HEADER_WORDS else [w.lower() for w in _WORDS.findall(name)]
+    if not words or words[0] in STATE_WORDS:
+        return "", False
+    last = words[-1] if words[-1] not in HOLDER_WORDS or len(words) == 1 else words[-2]
+    for kind, listed in kinds:
+        if last in listed:
+            return kind, True
+    return ("furniture", False) if {words[0], last} & (COMMENT_WORDS | FURNITURE_WORDS | DOUBTFUL_WORDS) else ("", False)
 
 
 def _zone_of(tag: str, attributes: str, above: int) -> int:
-    """Zone that an element opens, under the zone it stands in."""
-    words: set[str] = set()
+    """Zone that an element opens, under the zone it stands in. The whole page is never furniture."""
+    hints: set[tuple[str, bool]] = set()
     role, hidden = "", False
-    if attributes.strip():
+    if attributes.strip() and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
             value = value.strip("\"'")
             name = name.lower()
             if name in ("class", "id"):
-                words.update(w.lower() for w in _WORDS.findall(value))
-                words.update(x.lower() for x in re.split(r"[\s_-]+", value))
+                hints.update(_hint(x) for x in value.split())
             elif name == "role":
                 role = value.lower()
             elif name == "style":
                 hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             else:
                 hidden |= name == "hidden" or value.lower() == "true"
-    if words & COMMENT_WORDS:
+    if ("comments", True) in hints:
         return COMMENTS
     if tag in ("article", "main") or role in ("main", "article"):
         # an advert or a menu that was never closed doesn't swallow the article
         return ARTICLE
     if above >= REMOVED:
         return REMOVED
-    if tag in FURNITURE_TAGS or tag == "head" or role in FURNITURE_ROLES or hidden or words & FURNITURE_WORDS:
+    if tag in FURNITURE_TAGS or tag == "head" or role in FURNITURE_ROLES or hidden or ("furniture", True) in hints:
         return REMOVED
-    if above != ARTICLE and (tag == "header" or words & HEADER_WORDS and not tag.startswith("h")):
+    inside = above in (ARTICLE, DOUBTFUL)
+    if not inside and (tag == "header" or ("header", True) in hints and not tag.startswith("h")):
         return REMOVED
-    return above
+    return DOUBTFUL if inside and ("furniture", False) in hints else above
 
 
 def page_blocks(source: str) -> list[tuple[int, int, str]]:
-    """(zone, article element, text) of each non-empty block in page order; white space as single spaces."""
+    """(zone, article element, text) of each non-empty block in page order; white space as single spaces.
+
+    In time linear in the page: a tag that is never closed is text, with all behind it, and once a quote is never
+    closed, quotes no longer hide the ends of tags.
+    """
     blocks: list[tuple[int, int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
-    zone, articles = OTHER, 0
+    open_tags: dict[str, int] = {}
+    zone, articles, commented, quotes = OTHER, 0, 0, True
 
     def close() -> None:
         if held:
@@ -106,18 +133,35 @@ def page_blocks(source: str) -> list[tuple[int, int, str]]:
                 blocks.append((zone, articles, text))
             held.clear()
 
+    def pop() -> None:
+        nonlocal commented
+        tag, z = stack.pop()
+        open_tags[tag] -= 1
+        commented -= z == COMMENTS
+
     at, n = 0, len(source)
     while at < n:
-        m = _TAG.search(source, at)
+        m = _MARKUP.search(source, at)
         if m is None:
             held.append(source[at:])
             break
         if m.start() > at:
             held.append(source[at : m.start()])
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        comment, cdata, declaration, end, tag = m.groups()
+        if tag is None:
+            mark = "-->" if comment else "]]>" if cdata else ">"
+            stop = source.find(mark, m.end())
+            at = n if stop < 0 else stop + len(mark)
             continue
+        closing = _TAG_END.match(source, m.end()) if quotes else None
+        if closing is not None:
+            attributes, at = closing[1], closing.end()
+        else:
+            stop = source.find(">", m.end())
+            if stop < 0:
+                held.append(source[m.start() :])
+                break
+            quotes, attributes, at = False, source[m.end() : stop], stop + 1
         tag = tag.lower()
         if tag == "br":
             held.append(" ")
@@ -125,28 +169,27 @@ def page_blocks(source: str) -> list[tuple[int, int, str]]:
         if tag in BLOCK_TAGS:
             close()
         if not end and tag in RAW_TAGS and not attributes.endswith("/"):
-            if tag in BLOCK_TAGS:
-                close()
             stop = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = stop.end() if stop else n
             continue
         if tag not in CONTAINERS:
             continue
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag not in BLOCK_TAGS and stack[i][1] != (stack[i - 1][1] if i else OTHER):
-                        close()
-                    del stack[i:]
-                    zone = stack[-1][1] if stack else OTHER
-                    break
+            if open_tags.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if tag not in BLOCK_TAGS and stack[i][1] != (stack[i - 1][1] if i else OTHER):
+                    close()
+                while len(stack) > i:
+                    pop()
+                zone = stack[-1][1] if stack else OTHER
             continue
         if attributes.endswith("/") and tag in ("a", "span"):
             continue
         if tag in ("p", "li", "td", "tr") and stack and stack[-1][0] == tag:
-            stack.pop()  # closed by its successor
+            pop()  # closed by its successor
             zone = stack[-1][1] if stack else OTHER
-        commented = any(z == COMMENTS for _, z in stack)
         new = _zone_of(tag, attributes, zone)
         if commented:
             new = REMOVED  # an article element inside the reader comments is a comment
@@ -156,6 +199,8 @@ def page_blocks(source: str) -> list[tuple[int, int, str]]:
             continue  # nothing to restore
         articles += tag == "article" and new == ARTICLE
         stack.append((tag, new))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        commented += new == COMMENTS
         zone = new
     close()
     return blocks
@@ -186,9 +231,10 @@ Blocks = list[tuple[int, int, str]]
 
 
 def undecided(blocks: Blocks) -> bool:
-    """Whether repetition has a say in the page's text: it has no article element, or several."""
-    units = {a for z, a, _ in blocks if z == ARTICLE}
-    return len(units) > 1 or not units and any(z == OTHER for z, _, _ in blocks)
+    """Whether repetition has a say in the page's text: it has no article element, or several, or one with a part that
+    may be furniture."""
+    units = {a for z, a, _ in blocks if z in (ARTICLE, DOUBTFUL)}
+    return len(units) > 1 or any(z == DOUBTFUL for z, _, _ in blocks) or not units and any(z == OTHER for z, _, _ in blocks)
 
 
 class _Streams:
@@ -249,7 +295,7 @@ class _Streams:
         under = (np.cumsum(cover[:-1]) > 0) & self.inside
         boilerplate = np.bincount(self.block, under, minlength=len(flat)) >= COVERED * size
         # of several article elements the longest stays, and of the others those with a unique block
-        mine = zone == ARTICLE
+        mine = (zone == ARTICLE) | (zone == DOUBTFUL)
         keys, unit = np.unique(page[mine] * (int(element.max()) + 1) + element[mine], return_inverse=True)
         units = np.full(len(flat), -1)
         units[mine] = unit
@@ -263,11 +309,11 @@ class _Streams:
         stays = unique
         stays[list(best.values())] = True
         has_article = np.zeros(self.n_pages, bool)
-        has_article[page[zone == ARTICLE]] = True
+        has_article[page[mine]] = True
         out: list[list[str]] = [[] for _ in range(self.n_pages)]
         for b, (p, z, _, t) in enumerate(flat):
-            if z == ARTICLE:
-                keep = stays[units[b]]
+            if z in (ARTICLE, DOUBTFUL):
+                keep = stays[units[b]] and (z == ARTICLE or not boilerplate[b])
             else:
                 keep = z == OTHER and not has_article[p] and not boilerplate[b]
             if keep:
@@ -360,7 +406,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row; a null html is empty, and an empty page has an empty text.
 
     The host is what the url has between ``//`` and the next slash, colon, question mark or number sign, in lower
-    case; rows without one form a host of their own.
+    case; rows without one form a host of their own. Rows that repeat a page give a row each and count as one article;
+    an empty table gives no rows; other columns aren't read. Texts of any length are taken whole, in linear time.
     """
     spark = pages.sparkSession
     ensure_importable(spark)

@@ -152,6 +152,43 @@ def test_main_text(spark):
     assert all(shared not in by[10 + i].text and f"Story {i} " in by[10 + i].text for i in range(6))
 
 
+def test_names_of_elements_count_as_a_whole():
+    text = lambda h: "\n".join(t for z, _, t in html_extract.page_blocks(h) if z < html_extract.REMOVED)
+    for name in ('class="social-history"', 'id="popular-science"', 'id="respond-plan"', 'class="note notice-of-death"', 'id="discussion"'):
+        assert text(f"<main><div {name}><p>kept</p></div></main>") == "kept", name
+    for name in ('class="site-footer"', 'class="cookie-notice"', 'class="ad"', 'class="ad-slot"', 'id="leftSidebar"', 'class="related-posts"', 'class="comments-area"'):
+        assert text(f"<main><div {name}><p>gone</p></div><p>kept</p></main>") == "kept", name
+    assert text('<html class="menu"><body class="has-sidebar ad"><p>kept</p></body></html>') == "kept"
+
+
+def test_doubtful_parts_go_where_they_are_repeated():
+    rnd = random.Random(1)
+    own = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    line = "follow all of our channels and tell your friends about them today"
+    pages = [f'<article><p>{own(40)}</p><div class="social-history">{line if i else own(12)}</div></article>' for i in range(6)]
+    got = html_extract.host_main_text(pages)
+    assert not any(line in t for t in got) and got[0].count("\n") == 1
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 40_000 + "x", "<div>" * 20_000 + "</span>" * 20_000, '<a "' * 20_000, '<a ">" ' * 20_000, "<!--" * 20_000, "<" * 100_000, "<p class='comments'>" * 20_000):
+        began = time.perf_counter()
+        html_extract.page_blocks(page)
+        assert time.perf_counter() - began < 4, page[:20]
+    assert html_extract.page_blocks('<p title="a > b">one</p><p title="x>two') == [(0, 0, "one"), (0, 0, "two")]
+
+
+def test_repeated_spans_are_those_of_brute_force():
+    rnd = random.Random(2)
+    blocks = [[(0, 0, " ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 30)))) for _ in range(3)] for _ in range(8)]
+    s = html_extract._Streams(blocks)
+    spans = [tuple(s.streams[s.owner[i]][s.where[i] - s.begin[s.owner[i]] :][: html_extract.SPAN]) for i in range(len(s.where))]
+    for names in (s.kinds().tolist(), s.span_names(np.arange(len(s.where))).tolist()):
+        assert len(set(zip(spans, names))) == len(set(spans)) == len(set(names))
+
+
 def test_copies_of_a_page_are_not_boilerplate():
     story = "<p>" + " ".join(f"word{i}" for i in range(60)) + "</p>"
     assert all(t == " ".join(f"word{i}" for i in range(60)) for t in html_extract.host_main_text([story] * 5))
