@@ -3,9 +3,10 @@
 Features are hashed words, their beginnings of 3 to 8 bytes, and nothing else; a document has each at most once. Only
 features whose split between the classes is unlikely by chance, given how many are tried, and that are mostly in
 toxic documents take part, and their weights can't fall below zero: toxicity is the presence of something, so length
-and neutral words can't make up for it. Beside the log loss, training penalises the squared change of a document's
-logit when its identity terms are swapped for others of their list, and weights are shrunk towards zero. A term that
-no training document has counts as mentioned once.
+and neutral words can't make up for it. Each labelled document with identity terms is also taken with those terms swapped
+for others of the same language in the sentences that hold them: beside the log loss, training penalises the squared
+difference of the two logits, documents of either label weighted as in the loss, so that who is mentioned doesn't move
+the score. Weights are shrunk towards zero.
 
 Training uses at most ``SAMPLE`` labelled documents, those with the smallest hashes of their ids; the bound is a
 parameter. Scoring is one map over all whole texts with the weights as a table of fixed size.
@@ -13,6 +14,9 @@ parameter. Scoring is one map over all whole texts with the weights as a table o
 
 from __future__ import annotations
 
+import re
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,19 +30,26 @@ SAMPLE = 10_000
 BITS = 20
 PREFIXES = (3, 4, 5, 6, 8)
 THRESHOLD = 0.7
-#: Added to the logarithm of the number of features tried: what a feature's evidence must exceed.
-MARGIN = -1.0
+#: Added to the logarithm of the number of features tried: what a feature's evidence must exceed. Chosen on a split of
+#: the labels that training may see (crc32 mod 3 of 0 to learn from, 2 to compare).
+MARGIN = -3.0
 
 # Words for groups of people, English, French, German and Spanish.
-IDENTITY_TERMS = """women men woman man girls boys muslims muslim christians christian jews jewish hindus hindu buddhists
+IDENTITY_TERMS = {
+    "en": """women men woman man girls boys muslims muslim christians christian jews jewish hindus hindu buddhists
 atheists catholics catholic protestants immigrants immigrant refugees refugee foreigners migrants gay lesbian bisexual
 transgender queer straight black white asian african latino hispanic arab indian chinese mexican european american
-disabled deaf blind autistic elderly young old poor rich
-femmes hommes femme homme musulmans musulman chrétiens chrétien juifs juif immigrés réfugiés étrangers noirs blancs
-arabes asiatiques handicapés
-frauen männer frau mann muslime christen juden einwanderer flüchtlinge ausländer schwarze weiße araber behinderte
-mujeres hombres mujer hombre musulmanes musulmán cristianos cristiano judíos judío inmigrantes refugiados extranjeros
-negros blancos árabes asiáticos discapacitados""".split()
+disabled deaf blind autistic elderly young old poor rich""",
+    "fr": """femmes hommes femme homme musulmans musulman chrétiens chrétien juifs juif immigrés réfugiés étrangers noirs blancs
+arabes asiatiques handicapés""",
+    "de": """frauen männer frau mann muslime christen juden einwanderer flüchtlinge ausländer schwarze weiße araber behinderte""",
+    "es": """mujeres hombres mujer hombre musulmanes musulmán cristianos cristiano judíos judío inmigrantes refugiados extranjeros
+negros blancos árabes asiáticos discapacitados""",
+}
+
+
+_PARTNERS = {t: [o for o in terms.split() if o != t] for terms in IDENTITY_TERMS.values() for t in terms.split()}
+_MENTION = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(_PARTNERS, key=len, reverse=True)) + r")(?![^\W\d_])", re.I)
 
 
 def _letters_table() -> np.ndarray:
@@ -77,20 +88,29 @@ def features_of_words(w: W.Words, wanted: np.ndarray | None = None) -> tuple[np.
     return key & (1 << BITS) - 1, key >> BITS
 
 
-def _identity_features() -> tuple[np.ndarray, list[np.ndarray]]:
-    """Word features of the identity terms, and all features that each of them brings."""
-    raw, bounds = W.text_buffers(pa.array(IDENTITY_TERMS))
-    w = W.split_words(raw, bounds, _letters_table())
-    f, d = features_of_words(w)
-    return (w.hash >> U64(64 - BITS)).astype(np.int64), [f[d == i] for i in range(w.docs)]
+def swapped(text: str) -> str | None:
+    """The text with every identity term replaced by another of its language, one that the text decides; None without
+    any. Repeated mentions of a term get the same one."""
+    turn = crc32(text.encode())
+    out, n = _MENTION.subn(lambda m: (others := _PARTNERS.get(m[0].lower(), [m[0]]))[(turn + crc32(m[0].lower().encode())) % len(others)], text)
+    return out if n else None
+
+
+def _features(column: pa.Array) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, w in W.batches(column, _LETTERS):
+        f, d = features_of_words(w)
+        out += np.split(f.astype(np.int32), np.searchsorted(d, np.arange(1, w.docs))) if w.docs else []
+    return out
 
 
 def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``sample`` labelled documents that aren't held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Features and labels of at most ``sample`` labelled documents that aren't held out, and the features of each with
+    its identity terms swapped (none where it has no such terms)."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.withColumn("_o", F.xxhash64("doc_id")).orderBy("_o", "doc_id").limit(sample).select("doc_id", "toxic")
@@ -98,20 +118,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def featurize(batches):
-        table = _letters_table()
-        for b in batches:
-            got = []
-            for _, w in W.batches(b.column(2), table):
-                f, d = features_of_words(w)
-                got += [x.astype(np.int32).tobytes() for x in np.split(f, np.searchsorted(d, np.arange(1, w.docs)))] if w.docs else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(got, pa.binary())], ["doc_id", "toxic", "f"])
+        for batch in batches:
+            for b in W.slices(batch, 2):
+                other = [swapped(t or "") for t in b.column(2).to_pylist()]
+                f, g = _features(b.column(2)), _features(pa.array([t or "" for t in other], pa.string()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array([x.tobytes() for x in f], pa.binary()), pa.array([None if t is None else x.tobytes() for t, x in zip(other, g, strict=True)], pa.binary())], ["doc_id", "toxic", "f", "g"])
 
-    found = sorted(rows.mapInArrow(featurize, "doc_id long, toxic int, f binary").collect(), key=lambda r: (r.doc_id, bytes(r.f)))
-    return [np.frombuffer(r.f, np.int32) for r in found], np.array([r.toxic for r in found], float)
+    found = sorted(rows.mapInArrow(featurize, "doc_id long, toxic int, f binary, g binary").collect(), key=lambda r: (r.doc_id, bytes(r.f)))
+    return [np.frombuffer(r.f, np.int32) for r in found], np.array([r.toxic for r in found], float), [np.frombuffer(r.f if r.g is None else r.g, np.int32) for r in found]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = 1.0, decay: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights of all 2**BITS features and the bias, by projected descent with a scale for each weight."""
+def fit(rows: list[np.ndarray], y: np.ndarray, other: list[np.ndarray], swap_weight: float = 2.0, decay: float = 1e-3, rounds: int = 300, margin: float = MARGIN) -> tuple[np.ndarray, float]:
+    """Weights of all 2**BITS features and the bias, by projected descent with a scale for each weight. ``other`` has the
+    features of each row with its identity terms swapped, ``swap_weight`` the weight of the squared change of its logit."""
     weights = np.zeros(1 << BITS)
     if not len(rows) or y.min(initial=1) == y.max(initial=0):
         p = float(y.mean()) if len(y) else 0.0
@@ -130,24 +149,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = 1.0, decay:
     rest = np.maximum(with_zero / np.maximum(seen_in, 1), 1e-9)
     odd = with_one * np.log(part / share_one) + with_zero * np.log(rest / (1 - share_one))
     tried = max(int((seen_in >= 3).sum()), 2)
-    used = np.flatnonzero((with_one >= 3) & (part > 0.6 + 0.4 * share_one) & (odd > np.log(tried) + MARGIN))
+    used = np.flatnonzero((with_one >= 3) & (part > 0.6 + 0.4 * share_one) & (odd > np.log(tried) + margin))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     keep = place[feature] >= 0
     doc, feature = doc[keep].astype(np.int64), place[feature[keep]]
-    words, brought = _identity_features()
-    # a swap takes out one term's features and puts in the next term's; the penalty is on the difference's weight
-    swaps_out, swaps_in = [], []
-    for i in range(len(words)):
-        j = (i * 7 + 3) % len(words)
-        swaps_out.append(place[brought[i]][place[brought[i]] >= 0])
-        swaps_in.append(place[brought[j]][place[brought[j]] >= 0])
-    terms = {int(f): i for i, f in enumerate(words)}
-    mention = np.zeros(len(words))
-    for r in rows:
-        for f in terms.keys() & set(r.tolist()):
-            mention[terms[f]] += 1
-    strength = (mention + 1) / n
+    # what a swap adds to a row and takes from it
+    swaps = [(i, s, f) for i, (x, z) in enumerate(zip(rows, other, strict=True)) if x is not z for s, part in ((1.0, np.setdiff1d(z, x)), (-1.0, np.setdiff1d(x, z))) for f in place[part].tolist() if f >= 0]
+    at, sign, moved = (np.array(c, t) for c, t in zip(zip(*swaps, strict=True) if swaps else ([], [], []), (np.int64, float, np.int64), strict=True))
     w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
     seen_w, seen_b = np.full(len(used), 1e-8), 1e-8
     # both classes count the same in total
@@ -156,11 +165,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = 1.0, decay:
         z = np.bincount(doc, w[feature], minlength=n) + b
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         gw = np.bincount(feature, g[doc], minlength=len(used)) + decay * w / len(used) ** 0.5
-        for s, out, into in zip(strength, swaps_out, swaps_in, strict=True):
-            change = w[into].sum() - w[out].sum()
-            if change:
-                gw[into] += swap_weight * s * change
-                gw[out] -= swap_weight * s * change
+        change = np.bincount(at, sign * w[moved], minlength=n) * share
+        gw += 2 * swap_weight * np.bincount(moved, sign * change[at], minlength=len(used))
         seen_w += gw * gw
         seen_b += g.sum() ** 2
         w = np.maximum(w - 0.3 * gw / np.sqrt(seen_w), 0)
@@ -184,7 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 
 def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "_toxicity") -> DataFrame:
-    """``docs`` with the score of each whole text; a null text is empty."""
+    """``docs`` with the score of each whole text; a null text is empty. Rows, also repeated ones, and all columns stay;
+    a column of ``docs`` that is named like the score's must be renamed, else a ValueError says so."""
+    if score_col in docs.columns:
+        raise ValueError(f"docs has a column {score_col} already: give another score_col")
     ensure_importable(docs.sparkSession)
     weights, bias = model
     sent = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
@@ -203,7 +212,8 @@ def with_scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted); a null doc_id isn't held out. Without usable labels all score the same."""
+    """(doc_id, held_out, score, predicted) of each row, repeated ones too; a null doc_id isn't held out. Without usable
+    labels all score the same, as all empty and null texts do; an empty table gives no rows; texts are scored whole."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = with_scores(docs, train(docs, labels, sample))
     return scored.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), F.col("_toxicity").alias("score"), F.when(F.col("_toxicity") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
@@ -211,5 +221,8 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def reject_toxic(docs: DataFrame, training_docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, all columns, without those that score ``THRESHOLD`` or more."""
-    scored = with_scores(docs, train(training_docs, labels))
-    return scored.where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    scored = with_scores(docs, train(training_docs, labels), score_col=name)
+    return scored.where(F.col(name) < THRESHOLD).drop(name)

@@ -287,6 +287,35 @@ def test_toxicity(spark, docs):
     assert toxicity.with_scores(docs, model).columns == [*docs.columns, "_toxicity"]
 
 
+def test_swaps_take_the_weight_off_who_is_mentioned():
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    texts, y = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        said = rnd.random() < (0.9 if bad else 0.03)
+        texts.append(" ".join([rnd.choice([f"word{j}" for j in range(200)]) for _ in range(30)] + (["women"] if said else []) + (["vilex"] if bad and rnd.random() < 0.8 else [])))
+        y.append(float(bad))
+    rows = toxicity._features(pa.array(texts))
+    others = [x if (t := toxicity.swapped(text)) is None else toxicity._features(pa.array([t]))[0] for text, x in zip(texts, rows)]
+    score = lambda model, t: float(toxicity.score_column(pa.array([t]), *model)[0])
+    with_swap, without = (toxicity.fit(rows, np.array(y), others, swap_weight=w) for w in (2.0, 0.0))
+    assert score(without, "the women came") > 0.7 > 0.5 > score(with_swap, "the women came")
+    assert score(with_swap, "vilex women") >= 0.7
+    assert toxicity.swapped("no terms") is None and toxicity.swapped("Women met women") != "Women met women"
+
+
+def test_clashing_score_column(spark):
+    df = spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, _toxicity double")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert toxicity.reject_toxic(df, df, labels).columns == df.columns
+    with pytest.raises(ValueError):
+        toxicity.with_scores(df, (np.zeros(1 << toxicity.BITS), 0.0))
+
+
 def test_empty_tables(spark, no_docs):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
