@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm import words as W
-from maskframe.llm.shared import ensure_importable, release
+from maskframe.llm.shared import ensure_importable, fresh, release
 
 U64 = np.uint64
 WINDOW = 10
@@ -246,13 +246,14 @@ def search_shard(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list[n
 _FOUND = "n_words long, hit binary, items array<long>"
 
 
-def _with_findings(docs: DataFrame, block: list, text_col: str, window: int, again: bool, cut: bool) -> DataFrame:
+def _with_findings(docs: DataFrame, block: list, text_col: str, window: int, again: bool, cut: bool, marks: list[str]) -> DataFrame:
     """``docs`` with the findings of one block added to those of earlier ones, or with all of them cut from the text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(block)
-    names = [c for c in docs.columns if not (again and c in ("_n_words", "_hit", "_items"))]
+    n_words, hit, held = marks
+    names = [c for c in docs.columns if not (again and c in marks)]
     at = names.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), *([] if cut else ["_n_words long, _hit binary, _items array<long>"])])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), *([] if cut else [f"{n_words} long, {hit} binary, {held} array<long>"])])
 
     def run(batches):
         release()
@@ -260,17 +261,17 @@ def _with_findings(docs: DataFrame, block: list, text_col: str, window: int, aga
         for b in batches:
             counts, hits, items = search_shard(b.column(at), phrases)
             if again:
-                old = b.column(b.schema.get_field_index("_hit")).to_pylist()
+                old = b.column(b.schema.get_field_index(hit)).to_pylist()
                 hits = [np.unique(np.concatenate([np.frombuffer(o, np.int64).reshape(-1, 3), h]), axis=0) for o, h in zip(old, hits, strict=True)]
-                items = [o + i for o, i in zip(b.column(b.schema.get_field_index("_items")).to_pylist(), items, strict=True)]
+                items = [o + i for o, i in zip(b.column(b.schema.get_field_index(held)).to_pylist(), items, strict=True)]
             kept = [b.column(b.schema.get_field_index(c)) for c in names]
             if cut:
                 found = pa.array([h.tobytes() for h in hits], pa.binary())
-                for part in W.slices(pa.RecordBatch.from_arrays([*kept, found], [*names, "_hit"]), at):
+                for part in W.slices(pa.RecordBatch.from_arrays([*kept, found], [*names, hit]), at):
                     texts = [_cut(t, h) for t, h in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))], names)
             else:
-                done = pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array([h.tobytes() for h in hits], pa.binary()), pa.array([sorted(set(i)) for i in items], pa.list_(pa.int64()))], [*names, "_n_words", "_hit", "_items"])
+                done = pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array([h.tobytes() for h in hits], pa.binary()), pa.array([sorted(set(i)) for i in items], pa.list_(pa.int64()))], [*names, *marks])
                 yield from W.slices(done, at)
 
     return docs.mapInArrow(run, schema)
@@ -283,8 +284,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     windows are its ``window`` consecutive words, or all its words if it has fewer; no words, no window. A null
     text has no words. An item with a null item_id marks words, but isn't listed; repeated items count once.
     Rows of ``docs`` keep their number and order of columns, repeated ones too. With ``cut`` the result is ``docs``
-    without the merged spans of hit words.
+    without the merged spans of hit words. Where ``docs`` has a column of one of the three names, all three get more
+    underscores in front. An empty table stays empty; texts of any length are searched whole.
     """
+    marks = fresh(docs.columns, "n_words", "hit", "items")
     ensure_importable(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -293,7 +296,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     for i in range(blocks):
         # a block is bounded: block_bytes of text, but for the spread of the hash
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        out = _with_findings(out, [(r.item_id, r.text) for r in part.where("text is not null").collect()], text_col, window, i > 0, cut and i == blocks - 1)
+        out = _with_findings(out, [(r.item_id, r.text) for r in part.where("text is not null").collect()], text_col, window, i > 0, cut and i == blocks - 1, marks)
     return out
 
 

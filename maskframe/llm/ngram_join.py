@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from maskframe.llm import words as W
-from maskframe.llm.shared import connected_components, ensure_importable, map_batches, shuffle_width, stored
+from maskframe.llm.shared import connected_components, ensure_importable, fresh, map_batches, shuffle_width, stored
 
 U64 = np.uint64
 #: Signatures of one reduce group, and bytes of sets of one joining task.
@@ -373,14 +373,14 @@ def similarity_components(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id"), *(["cls", "root"] if with_class else []))
 
 
-def _class_of_rows(k: int):
+def _class_of_rows(k: int, name: str):
     table = W.space_table(lower=True)
 
     def f(batch: pa.RecordBatch):
         at = batch.schema.get_field_index("text")
         for part in W.slices(batch, at):
             cls = [set_class(s) for _, w in W.batches(part.column(at), table) for s in W.shingle_sets(w, k)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cls, pa.int64())], [*part.schema.names, "_cls"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cls, pa.int64())], [*part.schema.names, name])
 
     return f
 
@@ -392,18 +392,19 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     component with its smallest doc_id one stays, of the set with the smallest name; of those with that set the first
     in the order of text. Documents with no words and those without an id stay.
     """
+    id_, cls_, kept_, repeated_, row_ = fresh(docs.columns, "id", "cls", "kept", "repeated", "row")
     found = similarity_components(docs, k, num, den, with_class=True).where("doc_id is not null")
     goes = (F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))
     ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count(F.when(goes, 1)).alias("going")).where("going > 0 or rows > 1")
-    ids = stored(ids.select(F.col("doc_id").alias("_id"), (F.col("going") < F.col("rows")).alias("_repeated")), "ids")
-    stay = docs.join(ids.select("_id").hint("merge"), docs["doc_id"] == F.col("_id"), "left_anti")
-    repeated = ids.where("_repeated")
+    ids = stored(ids.select(F.col("doc_id").alias(id_), (F.col("going") < F.col("rows")).alias(repeated_)), "ids")
+    stay = docs.join(ids.select(id_).hint("merge"), docs["doc_id"] == F.col(id_), "left_anti")
+    repeated = ids.where(repeated_)
     if repeated.isEmpty():
         return stay
     # ids whose rows don't all go: their rows are told apart by their sets
-    mine = docs.join(repeated.select("_id").hint("merge"), docs["doc_id"] == F.col("_id"), "left_semi")
-    rows = stored(map_batches(mine, _class_of_rows(k), StructType([*docs.schema.fields, StructField("_cls", LongType())])), "repeated")
-    kept = found.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id", "root").agg(F.min("cls").alias("_cls")).select(F.col("doc_id").alias("_id"), F.col("_cls").alias("_kept"))
-    one = rows.where(F.col("_cls") != 0).groupBy("doc_id", "_cls").agg(F.min_by(F.struct(*docs.columns), "text").alias("_row"))
-    one = one.join(kept.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_cls") == F.col("_kept")), "left_semi").select("_row.*")
-    return stay.unionByName(rows.where("_cls = 0").drop("_cls")).unionByName(one)
+    mine = docs.join(repeated.select(id_).hint("merge"), docs["doc_id"] == F.col(id_), "left_semi")
+    rows = stored(map_batches(mine, _class_of_rows(k, cls_), StructType([*docs.schema.fields, StructField(cls_, LongType())])), "repeated")
+    kept = found.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id", "root").agg(F.min("cls").alias(cls_)).select(F.col("doc_id").alias(id_), F.col(cls_).alias(kept_))
+    one = rows.where(F.col(cls_) != 0).groupBy("doc_id", cls_).agg(F.min_by(F.struct(*docs.columns), "text").alias(row_))
+    one = one.join(kept.hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.col(cls_) == F.col(kept_)), "left_semi").select(f"{row_}.*")
+    return stay.unionByName(rows.where(F.col(cls_) == 0).drop(cls_)).unionByName(one)

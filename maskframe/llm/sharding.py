@@ -24,6 +24,8 @@ from maskframe.llm.shared import stored
 SHARDS = 8
 LARGE = 200
 BUNDLES_PER_SHARD = 1024
+#: Rows of a piece that one task numbers.
+PART_ROWS = 4096
 
 
 def place(sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -99,14 +101,16 @@ def pack_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for w, s in zip(weights, shard.tolist(), strict=True):
         start.append(after[s])
         after[s] += w.n
-    plan = spark.createDataFrame([(w.own, w.name, w.piece, int(s), int(a)) for w, s, a in zip(weights, shard, start, strict=True)], T.StructType([T.StructField("own", T.BooleanType()), T.StructField("name", T.LongType()), T.StructField("piece", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("start", T.LongType())]))
-    # a piece in numbered parts, so that one that holds very many rows is not sorted by one task
-    part = F.pmod(F.xxhash64("grp", "doc_id", F.lit(5)), F.greatest(F.lit(1), (F.lit(int(total[2] or 0)) / F.lit(bundles * 4)).cast("long"))).alias("part")
-    parted = named.select("doc_id", "size", "text_crc32", "grp", "own", "name", "piece", part)
-    parts = parted.groupBy("own", "name", "piece", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("own", "name", "piece").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("own", "name", "piece", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    fields = [("own", T.BooleanType()), ("name", T.LongType()), ("piece", T.LongType()), ("shard", T.IntegerType()), ("start", T.LongType()), ("parts", T.IntegerType())]
+    rows_of_plan = [(w.own, w.name, w.piece, int(s), int(a), int(w.n) // PART_ROWS + 1) for w, s, a in zip(weights, shard, start, strict=True)]
+    plan = spark.createDataFrame(rows_of_plan, T.StructType([T.StructField(n, t) for n, t in fields]))
     keys = ["own", "name", "piece"]
+    # a piece in numbered parts by its rows, so that one that holds very many is not sorted by one task
+    part = F.pmod(F.xxhash64("grp", "doc_id", F.lit(5)), F.col("parts")).cast("long").alias("part")
+    parted = named.join(F.broadcast(plan), keys).select("doc_id", "size", "text_crc32", "grp", *keys, "shard", "start", part)
+    parts = parted.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*keys, "part", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("grp", "doc_id", "text_crc32", "size"))
-    ranked = parted.withColumn("rank", rank).join(parts, [*keys, "part"]).join(F.broadcast(plan), keys)
+    ranked = parted.withColumn("rank", rank).join(parts, [*keys, "part"])
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -118,6 +118,17 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination_report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_clashing_columns(spark, docs):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    clash = docs.select("doc_id", "text", *(F.lit(7).alias(c) for c in ("_hit", "_items", "_n_words", "_id", "_cls", "_kept", "_row", "_toxicity", "cluster", "n", "bin")))
+    found = decontaminate.find_contamination(clash, bench, block_bytes=4)
+    assert found.columns == [*clash.columns, "__n_words", "__hit", "__items"] and found.where("__n_words > 0 and _hit = 7").count() > 0
+    assert decontaminate.remove_contamination(clash, bench).columns == clash.columns
+    kept = ngram_join.keep_one_of_each(clash.union(clash.where("doc_id = 0")))
+    assert kept.columns == clash.columns and kept.where("_id = 7").count() == kept.count() == ngram_join.keep_one_of_each(docs).count()
+    assert secrets.redact_secrets(clash).columns == clash.columns
+
+
 def test_fm_index_counts_and_locates():
     import random
 
