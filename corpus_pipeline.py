@@ -16,7 +16,7 @@ from maskframe.llm.decontaminate import remove_contamination
 from maskframe.llm.ngram_join import keep_one_of_each
 from maskframe.llm.queries import _vocabulary
 from maskframe.llm.secrets import ranked_words, redact_secrets
-from maskframe.llm.shared import ensure_importable, shared_folder
+from maskframe.llm.shared import discard, ensure_importable, scratch, shared_folder
 from maskframe.llm.toxicity import reject_toxic
 
 
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_importable(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        before, path = path, f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            discard(spark, before)  # the next stage's rows are written
         docs = spark.read.parquet(path)
     return docs
