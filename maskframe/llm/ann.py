@@ -4,8 +4,8 @@ Vectors are dealt into shards of bounded size by the hash of their ids. A shard
 projections, its vectors sorted by the projected value. A query opens a window around its own value in every sorted
 array and widens all windows together (virtual rehashing: the same arrays serve every radius); a vector that falls
 into at least ``threshold`` of the windows is verified with its exact distance. The search of a shard ends when
-enough different vectors are verified (equal ones are indexed and counted once), or when the k-th distance found is below what wider windows could improve. The k best of
-each shard are merged per query.
+enough different vectors are verified (equal ones are indexed and counted once), or when the k-th distance found is
+below what wider windows could improve. The k best of each shard are merged per query.
 
 Every query visits every shard: a query's copies stream past the shard's index in blocks after the shard's vectors,
 so a task holds one shard and one block.
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskframe.llm.shared import ensure_importable, shuffle_width
+from maskframe.llm.shared import ensure_importable
 
-SHARD_VECTORS = 32_768
+SHARD_VECTORS = 8192
 QUERY_BLOCK = 256
 
 
@@ -32,7 +32,8 @@ QUERY_BLOCK = 256
 class Settings:
     """``projections`` arrays; a vector needs ``threshold`` of them; windows grow by ``growth`` from ``first`` of the
     spread of a projection; a shard's search verifies different vectors, at least ``verify`` times the number of its
-    rows and ``verify_least``."""
+    rows and ``verify_least``. With ``verify`` of 1 or more a search goes on until the windows hold the whole shard:
+    that is the exact way, for callers who need each true neighbour."""
 
     projections: int = 128
     threshold: float = 0.66
@@ -54,7 +55,7 @@ class CollisionIndex:
         rng = np.random.default_rng([s.seed, vectors.shape[1]])
         self.directions = rng.standard_normal((vectors.shape[1], s.projections))
         h = vectors @ self.directions
-        self.order = np.ascontiguousarray(np.argsort(h, axis=0, kind="stable").T.astype(np.int32))
+        self.order = np.ascontiguousarray(np.argsort(h, axis=0, kind="stable").T.astype(np.intp))
         self.sorted = np.ascontiguousarray(np.sort(h, axis=0).T)
         self.scale = float(np.median(h.std(axis=0))) or 1.0
         self.need = max(1, math.ceil(s.threshold * s.projections))
@@ -68,7 +69,8 @@ class CollisionIndex:
         counts = np.zeros((nq, n), np.uint16)
         tried = np.zeros((nq, n), bool)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * nq
-        enough = min(n, max(self.s.verify_least, int(self.s.verify * len(self.ids))) + k)
+        exact = self.s.verify >= 1
+        enough = n + 1 if exact else min(n, max(self.s.verify_least, int(self.s.verify * len(self.ids))) + k)
         seen, rows = np.zeros(nq, np.int64), np.zeros(nq, np.int64)
         live = np.arange(nq)
         half = self.scale * self.s.first
@@ -98,7 +100,7 @@ class CollisionIndex:
                     best[q] = (ids[keep], d[keep])
                 whole = (high[q] - low[q]).min() == n
                 # windows of this half-width hold most vectors within half / 1.2 of the query
-                certain = len(best[q][0]) == k and best[q][1][-1] * 1.2 <= half and rows[q] >= k + 1
+                certain = not exact and len(best[q][0]) == k and best[q][1][-1] * 1.2 <= half and rows[q] >= k + 1
                 if whole or certain or seen[q] >= enough:
                     done.append(q)
             live = np.setdiff1d(live, done)
@@ -122,7 +124,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Setti
 
     data, asked = usable(vectors), usable(queries)
     n = data.count()
-    shards = max(1, -(-n // shard_vectors), min(shuffle_width(vectors), n // 8192))
+    # by the number of vectors alone: neighbours don't depend on a cluster's settings
+    shards = max(1, -(-n // shard_vectors))
     keyed = data.withColumn("role", F.lit(0)).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     copies = asked.withColumn("role", F.lit(1)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     mixed = keyed.unionByName(copies).withColumn("dim", F.size("embedding"))

@@ -120,6 +120,39 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_recall_of_the_real_settings(spark):
+    """32,800 vectors in several shards, with the settings of the query; neighbours don't depend on a cluster's."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((32_800, 32))
+    v[:3000] = v[0]  # equal vectors: more than the least that a shard verifies
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    asked = df.where("vec_id % 800 = 0")
+    got = sorted(map(tuple, ann.nearest(df, asked, 10).collect()))
+    hits = total = 0
+    for q in range(0, len(v), 800):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        near = [i for i in np.lexsort((np.arange(len(v)), d)).tolist() if i != q][:10]
+        mine = [i for a, _, i, _ in got if a == q]
+        assert len(mine) == 10
+        hits, total = hits + len(set(near) & set(mine)), total + 10
+    assert hits >= 0.95 * total
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert sorted(map(tuple, ann.nearest(df, asked, 10).collect())) == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
+def test_exact_setting():
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((900, 24))
+    found = ann.CollisionIndex(np.arange(900), v, ann.Settings(verify=1.0)).search(v[:20], np.arange(20), 10)
+    for q, (got, _) in enumerate(found):
+        d = ((v - v[q]) ** 2).sum(1)
+        assert got.tolist() == [i for i in np.argsort(d, kind="stable").tolist() if i != q][:10]
+
+
 def test_copies_do_not_end_a_search():
     rng = np.random.default_rng(3)
     v = rng.standard_normal((6000, 32))
