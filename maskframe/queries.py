@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskframe import oracle as O
 from maskframe.functions import validators as V
-from maskframe.functions.patterns import IPV6, NAME_PATTERNS
 from maskframe.functions.registry import CATEGORIES, Options, pseudonym_key, registry_table
 from maskframe.operators import pages as P
 from maskframe.operators import redaction as R
@@ -85,98 +85,6 @@ def _detector(name: str) -> Query:
     return run
 
 
-# --- SQL of the detectors ------------------------------------------------------------------------------------------
-# RE2 has no lookaround and no references, but its word boundary is the ASCII one. Detectors without checks are plain
-# extractions. The others take the candidate at each start, keep the valid ones, and fold over them.
-
-
-def _extract_sql(*patterns: tuple[str, int]) -> str:
-    lists = ", ".join(f"regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', {g})" for p, g in patterns)
-    gate = " OR ".join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p, g in patterns)
-    return f"""SELECT source, key, CAST(len(f) AS BIGINT) AS n, array_to_string(f, '|') AS found FROM (
-      SELECT source, key, flatten([{lists}]) AS f FROM ({_TEXTS_SQL}) WHERE {gate}) WHERE len(f) > 0"""
-
-
-def _fold_sql(first: str, candidate: str, gate: str, before: str, after: str, valid: str, group: int = 0) -> str:
-    """Start-enumeration. ``first``: class of a candidate's first character; ``before``: class that may not precede it;
-    ``after``: class that may not follow the match; ``valid``: check on m, the match, and d, its digits."""
-    q = lambda x: x.replace("'", "''")
-    tail = f"(?:[^{after}]|$)" if after else ""
-    return f"""WITH t AS (SELECT source, key, text FROM ({_TEXTS_SQL}) WHERE regexp_matches(text, '{q(gate)}')),
-    s AS (SELECT source, key, text, unnest(generate_series(1, length(text))) AS i FROM t),
-    c AS (SELECT source, key, i, regexp_extract(substr(text, i), '^({q(candidate)}){tail}', 1) AS m FROM s
-          WHERE regexp_matches(substr(text, i, 1), '[{q(first)}]') AND (i = 1 OR {f"NOT regexp_matches(substr(text, i - 1, 1), '[{q(before)}]')" if before else "TRUE"})),
-    v AS (SELECT source, key, i, m FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM c WHERE m <> '') WHERE {valid}),
-    g AS (SELECT source, key, list({{'i': i, 'm': m}} ORDER BY i) AS l FROM v GROUP BY ALL),
-    r AS (SELECT source, key, list_reduce(list_transform(l, lambda x: {{'e': CAST(x.i + length(x.m) AS BIGINT), 'o': [x.m], 'i': CAST(x.i AS BIGINT)}}),
-            lambda a, x: CASE WHEN x.i >= a.e THEN {{'e': x.e, 'o': list_concat(a.o, x.o), 'i': x.i}} ELSE a END) AS z FROM g)
-    SELECT source, key, CAST(len(z.o) AS BIGINT) AS n, array_to_string(z.o, '|') AS found FROM r"""
-
-
-def _concat_sql(*parts: str) -> str:
-    """Findings of several patterns, one pattern's after the other's."""
-    union = " UNION ALL ".join(f"SELECT {i} AS part, * FROM ({p})" for i, p in enumerate(parts))
-    return f"SELECT source, key, CAST(sum(n) AS BIGINT) AS n, string_agg(found, '|' ORDER BY part) AS found FROM ({union}) GROUP BY source, key"
-
-
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
-_SHAPES = r"NOT regexp_matches(m, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND NOT regexp_matches(m, '^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}$')"
-_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN k % 2 = 0 THEN (CAST(substr(d, length(d) - k + 1, 1) AS INT) * 2) % 10 + (CAST(substr(d, length(d) - k + 1, 1) AS INT) * 2) // 10 ELSE CAST(substr(d, length(d) - k + 1, 1) AS INT) END)) % 10 = 0"
-_IL_ID = "list_sum(list_transform(range(1, 10), lambda k: (CAST(substr(d, k, 1) AS INT) * (2 - k % 2)) % 10 + (CAST(substr(d, k, 1) AS INT) * (2 - k % 2)) // 10)) % 10 = 0"
-_ABA = "(3 * (CAST(substr(f, 1, 1) AS INT) + CAST(substr(f, 4, 1) AS INT) + CAST(substr(f, 7, 1) AS INT)) + 7 * (CAST(substr(f, 2, 1) AS INT) + CAST(substr(f, 5, 1) AS INT) + CAST(substr(f, 8, 1) AS INT)) + CAST(substr(f, 3, 1) AS INT) + CAST(substr(f, 6, 1) AS INT) + CAST(substr(f, 9, 1) AS INT)) % 10 = 0"
-_MOD97 = "list_reduce(list_transform(string_split(substr(k, 5) || substr(k, 1, 4), ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN CAST(ascii(x) - 48 AS BIGINT) ELSE CAST(ascii(x) - 55 AS BIGINT) END), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END, CAST(0 AS BIGINT)) = 1"
-
-
-
-def _re2(pattern: str) -> str:
-    return pattern.replace("{b}", r"\b").replace("{s}", r"\s").replace(r"\p{L}", r"\pL")
-
-
-DETECTOR_SQL = {
-    "person": _extract_sql(*((_re2(p.regex), 0) for p in NAME_PATTERNS["person"])),
-    "place": _extract_sql(*((_re2(p.regex), 0) for p in NAME_PATTERNS["place"])),
-    "email": _extract_sql((r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0)),
-    "url": _extract_sql((r"""\b(?:https?://|www\.)[^\s<>()\[\]{}"'“”‘’]+[^\s<>()\[\]{}"'“”‘’.,;:!?]""", 0)),
-    "date": _extract_sql(
-        (r"\b\d{4}-\d{2}-\d{2}\b", 0), (r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b", 0),
-        (r"(?i)\b(?:" + _MONTHS + r")\.?\s+\d{1,2}(?:st|nd|rd|th)?(?:,?\s+\d{4})?\b", 0), (r"(?i)\b\d{1,2}(?:st|nd|rd|th)?\s+(?:" + _MONTHS + r")\.?(?:,?\s+\d{4})?\b", 0),
-    ),
-    "macAddress": _extract_sql((r"\b[0-9A-Fa-f]{2}(?:(?::[0-9A-Fa-f]{2}){5}|(?:-[0-9A-Fa-f]{2}){5})\b", 0)),
-    "driversLicence": _extract_sql((r"(?i)\b(?:driver'?s?\s*(?:licen[cs]e|lic|dl)|licen[cs]e\s*(?:no|number|#))\b\W{0,12}([A-Z0-9][A-Z0-9-]{4,14})\b", 1)),
-    "phone": _fold_sql("0-9+(", r"\+?\(?[0-9]{1,4}\)?(?:[ .\x{00A0}-]?\(?[0-9]{2,4}\)?){1,5}", r"[0-9][ .\x{00A0}()-]*[0-9][0-9]", r"\pL\pN", r"\pL\pN", f"{_SHAPES} AND regexp_matches(m, '[0-9][0-9]') AND length(d) BETWEEN 7 AND 15"),
-    "creditCard": _fold_sql("0-9", r"[0-9](?:[ -]?[0-9]){12,18}", r"[0-9](?:[ -]?[0-9]){12}", "0-9A-Za-z_", "0-9A-Za-z_", f"length(d) BETWEEN 13 AND 19 AND {_LUHN}"),
-    "accountNumber": _fold_sql("0-9", r"[0-9](?:[ -]?[0-9]){8,}", r"[0-9](?:[ -]?[0-9]){8}", "0-9", "0-9", f"{_SHAPES} AND length(d) >= 9"),
-    "nationalId": _fold_sql("0-9", r"[0-9]{9}", r"[0-9]{9}", "0-9", "0-9", _IL_ID),
-    "iban": _fold_sql("A-Z", r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}", "0-9A-Za-z_", "0-9A-Za-z_", f"(SELECT length(k) BETWEEN 15 AND 34 AND {_MOD97} FROM (SELECT replace(m, ' ', '') AS k))"),
-    "secret": _extract_sql(
-        (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", 0), (r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ABIA|ACCA)[A-Z0-9]{16}\b", 0), (r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", 0),
-        (r"\bxox[abpsr]-[A-Za-z0-9-]{10,}\b", 0), (r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}\b", 0), (r"\bAIza[0-9A-Za-z_-]{35}\b", 0), (r"\bsk-(?:ant-)?[A-Za-z0-9_-]{20,}\b", 0),
-        (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", 0),
-        (r"""(?i)\b(?:api[_-]?key|apikey|secret|access[_-]?token|auth[_-]?token|bearer|client[_-]?secret|password|passwd|pwd)\b\W{0,6}["']?([A-Za-z0-9_\-./+=]{12,})""", 1),
-    ),
-    "passport": _extract_sql((r"(?i)\b(?:passport(?:\s*(?:no|number|nr|#))?)\b\W{0,12}([A-Z0-9]{6,9})\b", 1), (r"(?m)^[A-Z0-9<]{9}\d[A-Z]{3}\d{6}\d[MF<]\d{6}\d[A-Z0-9<]{14}\d\d$", 0)),
-    "ssn": _concat_sql(
-        _fold_sql("0-9", r"[0-9]{3}(?: [0-9]{2} |-[0-9]{2}-)[0-9]{4}", r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}", "0-9", "0-9", "NOT regexp_matches(d, '^(?:000|666|9)|^...00|0000$')"),
-        _extract_sql((r"(?i)\b(?:ssn|social\s+security(?:\s+(?:no|number|#))?)\W{0,10}((?:00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])[ -]?(?:0[1-9]|[1-9][0-9])[ -]?(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3}))\b", 1)),
-    ),
-    "postalCode": _concat_sql(
-        _fold_sql("0-9", r"[0-9]{5}-[0-9]{4}", r"[0-9]{5}-[0-9]{4}", "0-9", "0-9", "TRUE"),
-        _extract_sql((r"(?i)\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b", 0), (r"(?i)\b[ABCEGHJ-NPRSTVXY]\d[A-Z]\s?\d[A-Z]\d\b", 0), (r"(?i)\b(?:zip(?:\s*code)?|postal\s*code|postcode)\b\W{0,10}(\d{5,7}(?:-\d{4})?)\b", 1)),
-    ),
-    "ipAddress": _concat_sql(
-        _extract_sql((r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b", 0)),
-        _fold_sql("0-9A-Fa-f:", IPV6, "::|(?:[0-9A-Fa-f]{1,4}:){2}", "0-9A-Fa-f:", "0-9A-Fa-f:", "m <> '::'"),
-    ),
-    "age": _concat_sql(
-        _extract_sql((r"(?i)\b(\d{1,3})[\s-]?years?[\s-]?old\b", 1), (r"(?i)\b(\d{1,3})\s*y\.?o\.?\b", 1)),
-        f"""SELECT source, key, CAST(len(f) AS BIGINT) AS n, array_to_string(f, '|') AS found FROM (SELECT source, key, list_transform(list_filter(regexp_extract_all(text, '(?i)\\baged?[:\\s]+\\d{{1,3}}\\b(?:\\s*(?:day|week|month|hour|minute|min|sec|second))?'), lambda x: NOT regexp_matches(x, '[a-zA-Z]$')), lambda x: regexp_extract(x, '\\d+')) AS f
-          FROM ({_TEXTS_SQL}) WHERE regexp_matches(text, '(?i)aged?[:\\s]+\\d')) WHERE len(f) > 0""",
-    ),
-    "routingNumber": f"""SELECT source, key, CAST(len(f) AS BIGINT) AS n, array_to_string(f, '|') AS found FROM (SELECT source, key, list_filter(regexp_extract_all(text, '(?i)\\b(?:aba|routing|rtn)\\b\\W{{0,20}}([0-9]{{9}})(?:[^0-9]|$)', 1), lambda f: {_ABA}) AS f
-      FROM ({_TEXTS_SQL}) WHERE regexp_matches(text, '(?i)aba|routing|rtn')) WHERE len(f) > 0""",
-}
-
-
 def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = E.redact(table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
     return done.select("doc_id", "lang", F.col("summary.total").cast("long").alias("total"), F.sha2(F.col("redacted"), 256).alias("redacted_sha256"), _joined(F.col("items")).alias("found"))
@@ -190,9 +98,6 @@ def _modes(mode: str) -> Query:
     return run
 
 
-_EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-
-
 def _email_only(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = E.redact(table(spark, sf_dir, "documents", "doc_id", "text"), Options.only("email"), mode)
@@ -202,7 +107,7 @@ def _email_only(mode: str) -> Query:
 
 
 def _email_sql(token: str) -> str:
-    return f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_EMAIL}')) AS BIGINT) AS total, sha256(regexp_replace(text, '{_EMAIL}', '{token}', 'g')) AS redacted_sha256 FROM documents"
+    return f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{O.EMAIL}')) AS BIGINT) AS total, sha256(regexp_replace(text, '{O.EMAIL}', '{token}', 'g')) AS redacted_sha256 FROM documents"
 
 
 def _pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,11 +162,6 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry_table(spark)
 
 
-def _registry_sql() -> str:
-    rows = ", ".join(f"({i}, '{c.name}', {c.priority}, '{c.label}', '{c.prefix}', {str(c.enabled).lower()}, '{c.group}', '{c.literal}', '{c.singular}', '{c.plural}')" for i, c in enumerate(CATEGORIES, 1))
-    return f"SELECT * FROM (VALUES {rows}) AS t(position, category, priority, label, prefix, enabled, grp, literal_mode, singular, plural)"
-
-
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of each customer as a CSV text, parsed, flattened and written again."""
     o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -357,7 +257,7 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", V.israeli_id(F.col("v")).alias("il_id"), V.aba(F.col("v")).alias("aba"), V.luhn(F.col("v")).alias("luhn"), F.col("v").alias("digits"), V.max_digit_run(F.concat(F.substring("v", 1, 3), F.lit("-"), F.substring("v", 4, 6))).cast("long").alias("longest"))
 
 
-_CHECKS_SQL = f"""SELECT c_custkey, {_IL_ID} AS il_id, {_ABA.replace("f,", "d,")} AS aba, {_LUHN} AS luhn, d AS digits, CAST(6 AS BIGINT) AS longest FROM (SELECT c_custkey, lpad(CAST(CAST(c_custkey AS BIGINT) * 7919 % 1000000000 AS VARCHAR), 9, '0') AS d FROM customer)"""
+_CHECKS_SQL = f"""SELECT c_custkey, {O.IL_ID} AS il_id, {O.ABA.replace("f,", "d,")} AS aba, {O.LUHN} AS luhn, d AS digits, CAST(6 AS BIGINT) AS longest FROM (SELECT c_custkey, lpad(CAST(CAST(c_custkey AS BIGINT) * 7919 % 1000000000 AS VARCHAR), 9, '0') AS d FROM customer)"""
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,15 +289,21 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"detect_{k}": v for k, v in DETECTOR_SQL.items()} | {
+    return {f"detect_{k}": O.detector_sql(k, _TEXTS_SQL) for k in O.RULES} | {
+        "redact_documents": O.redacted_sql("redacted", "doc_id, lang, total, sha256(redacted) AS redacted_sha256, found"),
+        "redact_label": O.redacted_sql("label", "doc_id, total, redacted"),
+        "redact_pseudonym": O.redacted_sql("pseudonym", "doc_id, total, redacted"),
+        "category_counts": O.counts_sql(),
+        "segments": O.segments_sql("email", "ipAddress", "creditCard"),
+        "document_tokens": O.tokens_sql(),
         "redact_email": _email_sql("[REDACTED]"),
         "redact_email_label": _email_sql("[EMAIL]"),
-        "email_counts_by_lang": f"SELECT lang, count(*) AS n_spans, count(DISTINCT e) AS n_values FROM (SELECT lang, unnest(regexp_extract_all(text, '{_EMAIL}')) AS e FROM documents) GROUP BY lang",
-        "category_rollup": f"SELECT lang, source, c AS category, count(*) AS n_spans FROM (SELECT lang, source, 'email' AS c, unnest(regexp_extract_all(text, '{_EMAIL}')) AS e FROM documents) GROUP BY ROLLUP (lang, source, c)",
+        "email_counts_by_lang": f"SELECT lang, count(*) AS n_spans, count(DISTINCT e) AS n_values FROM (SELECT lang, unnest(regexp_extract_all(text, '{O.EMAIL}')) AS e FROM documents) GROUP BY lang",
+        "category_rollup": f"SELECT lang, source, c AS category, count(*) AS n_spans FROM (SELECT lang, source, 'email' AS c, unnest(regexp_extract_all(text, '{O.EMAIL}')) AS e FROM documents) GROUP BY ROLLUP (lang, source, c)",
         "exact_values": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[^\pL\pN_]+'), lambda x: lower(x) IN ('the', 'and'))) AS BIGINT) AS total FROM documents",
-        "excluded_items": f"SELECT doc_id, CAST(len(l) - 1 AS BIGINT) AS n, array_to_string(l[2:], '|') AS found FROM (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS l FROM documents) WHERE len(l) > 1",
+        "excluded_items": f"SELECT doc_id, CAST(len(l) - 1 AS BIGINT) AS n, array_to_string(l[2:], '|') AS found FROM (SELECT doc_id, regexp_extract_all(text, '{O.EMAIL}') AS l FROM documents) WHERE len(l) > 1",
         "pseudonym_keys": "SELECT c_custkey, lower(trim(c_name)) AS person_key, regexp_replace(c_name, '[^0-9]', '', 'g') AS phone_key, upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) AS iban_key FROM customer",
-        "registry": _registry_sql(),
+        "registry": O.registry_sql(),
         "csv_round_trip": _CSV_SQL,
         "text_views": _VIEW_SQL,
         "sniff_files": _SNIFF_SQL,
