@@ -150,18 +150,18 @@ def detector_sql(name: str, texts: str) -> str:
 _DOCUMENTS = "SELECT 'documents' AS source, doc_id AS key, text FROM documents"
 
 
-def _resolved_ctes(*names: str) -> str:
-    """CTEs up to ``kept``: (key, text, l), the findings of the categories in the documents without overlaps, in order."""
+def _resolved_ctes(*names: str, texts: str = _DOCUMENTS) -> str:
+    """CTEs up to ``kept``: (source, key, text, l), the findings of the categories without overlaps, in order."""
     by = {r[1]: r for r in REGISTRY}
-    found = " UNION ALL ".join(f"SELECT key, '{n}' AS k, {by[n][2]} AS p, {by[n][0]} AS pos, part, s, s + length(m) AS e FROM ({_found(n, 'texts')})" for n in names)
-    return rf"""WITH texts AS ({_DOCUMENTS}), found AS ({found}),
-    folded AS (SELECT key, text, list_reduce(l, lambda a, x: CASE WHEN x.e <= a.e THEN a
+    found = " UNION ALL ".join(f"SELECT source, key, '{n}' AS k, {by[n][2]} AS p, {by[n][0]} AS pos, part, s, s + length(m) AS e FROM ({_found(n, 'texts')})" for n in names)
+    return rf"""WITH texts AS ({texts}), found AS ({found}),
+    folded AS (SELECT source, key, text, list_reduce(l, lambda a, x: CASE WHEN x.e <= a.e THEN a
         WHEN x.s >= a.e THEN {{'k': x.k, 's': x.s, 'e': x.e, 'o': list_append(a.o, {{'k': a.k, 's': a.s, 'e': a.e}})}}
         WHEN a.k = x.k OR regexp_matches(substr(text, a.e, 2), '^[\pL\pN_]{{2}}') THEN {{'k': a.k, 's': a.s, 'e': x.e, 'o': a.o}}
         WHEN NOT regexp_matches(substr(text, a.e + 1, x.e - a.e), '^[\s\pP\pS]*$') THEN {{'k': x.k, 's': a.e, 'e': x.e, 'o': list_append(a.o, {{'k': a.k, 's': a.s, 'e': a.e}})}}
         ELSE a END) AS z FROM (
-      SELECT key, list({{'k': k, 's': s, 'e': e, 'o': CAST([] AS STRUCT(k VARCHAR, s BIGINT, e BIGINT)[])}} ORDER BY s, p, e DESC, pos, part) AS l FROM found GROUP BY key) JOIN texts USING (key)),
-    kept AS (SELECT key, text, list_append(z.o, {{'k': z.k, 's': z.s, 'e': z.e}}) AS l FROM folded)"""
+      SELECT source, key, list({{'k': k, 's': s, 'e': e, 'o': CAST([] AS STRUCT(k VARCHAR, s BIGINT, e BIGINT)[])}} ORDER BY s, p, e DESC, pos, part) AS l FROM found GROUP BY source, key) JOIN texts USING (source, key)),
+    kept AS (SELECT source, key, text, list_append(z.o, {{'k': z.k, 's': z.s, 'e': z.e}}) AS l FROM folded)"""
 
 
 #: What makes two values of a category the same, by category; the others' are lower-case with single spaces.
@@ -170,18 +170,18 @@ _KEY = r"""CASE WHEN k IN ('email', 'ipAddress') THEN lower(trim(t)) WHEN k = 'u
 _DEFAULT = tuple(r[1] for r in REGISTRY if r[5] and r[1] != "manual")
 
 
-def redacted_sql(mode: str, columns: str) -> str:
-    """The documents redacted with the categories that are on by default; ``columns`` of doc_id, lang, total, redacted
-    and found."""
+def redacted_sql(mode: str, columns: str, texts: str = _DOCUMENTS) -> str:
+    """The texts redacted with the categories that are on by default; ``columns`` of source, key, total, redacted and
+    found."""
     pairs = ", ".join(f"('{r[1]}', '{r[3]}', '{r[4]}')" for r in REGISTRY)
     token = {"redacted": "'[REDACTED]'", "label": "'[' || label || ']'", "pseudonym": "'[' || prefix || '_' || n || ']'"}[mode]
-    return f"""{_resolved_ctes(*_DEFAULT)},
-    one AS (SELECT key, text, j, l[j].k AS k, l[j].s AS s, l[j].e AS e, substr(text, l[j].s + 1, l[j].e - l[j].s) AS t FROM (SELECT *, unnest(generate_series(1, len(l))) AS j FROM kept)),
-    numbered AS (SELECT *, dense_rank() OVER (PARTITION BY key, k ORDER BY f) AS n, lag(e, 1, 0) OVER (PARTITION BY key ORDER BY j) AS after FROM (
-      SELECT *, min(j) OVER (PARTITION BY key, k, v) AS f FROM (SELECT *, {_KEY} AS v FROM one))),
-    done AS (SELECT key, count(*) AS total, string_agg(substr(text, after + 1, s - after) || {token}, '' ORDER BY j) || substr(any_value(text), max(e) + 1) AS redacted, string_agg(t, '|' ORDER BY j) AS found
-      FROM numbered JOIN (VALUES {pairs}) AS c(k, label, prefix) USING (k) GROUP BY key),
-    whole AS (SELECT doc_id, lang, CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(redacted, text) AS redacted, coalesce(found, '') AS found FROM documents LEFT JOIN done ON doc_id = key)
+    return f"""{_resolved_ctes(*_DEFAULT, texts=texts)},
+    one AS (SELECT source, key, text, j, l[j].k AS k, l[j].s AS s, l[j].e AS e, substr(text, l[j].s + 1, l[j].e - l[j].s) AS t FROM (SELECT *, unnest(generate_series(1, len(l))) AS j FROM kept)),
+    numbered AS (SELECT *, dense_rank() OVER (PARTITION BY source, key, k ORDER BY f) AS n, lag(e, 1, 0) OVER (PARTITION BY source, key ORDER BY j) AS after FROM (
+      SELECT *, min(j) OVER (PARTITION BY source, key, k, v) AS f FROM (SELECT *, {_KEY} AS v FROM one))),
+    done AS (SELECT source, key, count(*) AS total, string_agg(substr(text, after + 1, s - after) || {token}, '' ORDER BY j) || substr(any_value(text), max(e) + 1) AS redacted, string_agg(t, '|' ORDER BY j) AS found
+      FROM numbered JOIN (VALUES {pairs}) AS c(k, label, prefix) USING (k) GROUP BY source, key),
+    whole AS (SELECT source, key, CAST(coalesce(total, 0) AS BIGINT) AS total, coalesce(redacted, text) AS redacted, coalesce(found, '') AS found FROM texts LEFT JOIN done USING (source, key))
     SELECT {columns} FROM whole"""
 
 

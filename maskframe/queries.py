@@ -46,8 +46,25 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return E.spread(df) if {"text", "html"} & set(columns) else df
 
 
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, key, text): a form for each customer, with a value of every category; many are invalid, some overlap."""
+    k = F.col("c_custkey").cast("long")
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_name").select(
+        k.alias("key"), F.md5(F.encode("c_name", "UTF-8")).alias("h"), F.lpad((k * 7919 % 1000000000).cast("string"), 9, "0").alias("n"),
+        F.lpad((k * 104729 % 100000000000000).cast("string"), 14, "0").alias("m"), F.lpad((k % 100).cast("string"), 2, "0").alias("two"),
+    )
+    return c.withColumn("a", F.translate("h", "0123456789", "ghijklmnop")).select(F.lit("forms").alias("source"), "key", F.expr(_FORM_SQL).alias("text"))
+
+
+# One expression that both engines read.
+_FORM_SQL = """concat('Dr. ', upper(substr(a, 1, 1)), substr(a, 2, 6), ' of 12 ', upper(substr(a, 8, 1)), substr(a, 9, 5), ' Road, ssn ', substr(n, 1, 3), '-', substr(n, 4, 2), '-', substr(n, 6, 4), ', iban GB', two, 'WEST', m,
+  ', mac ', substr(h, 1, 2), ':', substr(h, 3, 2), ':', substr(h, 5, 2), ':', substr(h, 7, 2), ':', substr(h, 9, 2), ':', substr(h, 11, 2), ', AKIA', upper(substr(h, 1, 16)), ', password: ', h,
+  ', passport no ', upper(substr(h, 1, 8)), ', licence no ', upper(substr(h, 9, 8)), ', zip code ', substr(n, 1, 5), ', aged ', two, ', card 4', substr(m, 1, 3), ' ', substr(m, 4, 4), ' ', substr(m, 8, 4), ' ', substr(m, 11, 4),
+  ', ip 10.', two, '.0.1 or ', substr(h, 1, 4), '::', substr(h, 5, 4), ', call +', substr(n, 1, 2), ' ', substr(n, 3, 3), '-', substr(n, 6, 4), ', id ', n, ', mail ', a, '@', two, '.example.org, born 3 March 19', two, ' in Paris')"""
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source, key, text): documents, page addresses, customer names, order dates, turns of talk, and examples."""
+    """(source, key, text): documents, page addresses, customer names and forms, order dates, turns of talk, examples."""
     t = lambda *a: table(spark, sf_dir, *a)
     parts = [
         t("documents", "doc_id", "text").select(F.lit("documents").alias("source"), F.col("doc_id").alias("key"), "text"),
@@ -55,6 +72,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("customer", "c_custkey", "c_name").select(F.lit("customer"), F.col("c_custkey").cast("long"), F.concat(F.lit("routing "), F.substring("c_name", 10, 9), F.lit(" of "), F.col("c_name"))),
         t("orders", "o_orderkey", "o_orderdate").select(F.lit("orders"), F.col("o_orderkey").cast("long"), F.concat(F.lit("ordered "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" and "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("."))),
         t("conversations", "conv_id", "turn", "text").select(F.lit("conversations"), (F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text"),
+        _forms(spark, sf_dir),
         spark.createDataFrame([("examples", i, x) for i, x in enumerate(EXAMPLES)], "source string, key long, text string"),
     ]
     out = parts[0]
@@ -69,8 +87,10 @@ UNION ALL SELECT 'pages', page_id, 'see ' || url || ', thanks.' FROM pages
 UNION ALL SELECT 'customer', CAST(c_custkey AS BIGINT), 'routing ' || substr(c_name, 10, 9) || ' of ' || c_name FROM customer
 UNION ALL SELECT 'orders', CAST(o_orderkey AS BIGINT), 'ordered ' || strftime(o_orderdate, '%Y-%m-%d') || ' and ' || strftime(o_orderdate, '%d/%m/%Y') || '.' FROM orders
 UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations
+UNION ALL SELECT 'forms', key, {form} FROM (SELECT *, translate(h, '0123456789', 'ghijklmnop') AS a FROM (SELECT k AS key, md5(c_name) AS h, lpad(CAST(k * 7919 % 1000000000 AS VARCHAR), 9, '0') AS n,
+  lpad(CAST(k * 104729 % 100000000000000 AS VARCHAR), 14, '0') AS m, lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS two FROM (SELECT CAST(c_custkey AS BIGINT) AS k, c_name FROM customer)))
 UNION ALL SELECT 'examples', i, x FROM (VALUES {examples}) AS v(i, x)
-""".format(examples=", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(EXAMPLES)))
+""".format(form=_FORM_SQL, examples=", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(EXAMPLES)))
 
 
 def _joined(spans: Column) -> Column:
@@ -98,6 +118,12 @@ def _modes(mode: str) -> Query:
     return run
 
 
+def _texts_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts redacted with all categories that are on by default; many of their findings overlap."""
+    done = E.redact(texts(spark, sf_dir), mode="pseudonym", id_col="key")
+    return done.select("source", "key", F.col("summary.total").cast("long").alias("total"), "redacted", _joined(F.col("items")).alias("found"))
+
+
 def _email_only(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = E.redact(table(spark, sf_dir, "documents", "doc_id", "text"), Options.only("email"), mode)
@@ -279,7 +305,7 @@ _STREAM_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, 'email' AS category, coun
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {"redact_documents": _flagship}
     found |= {f"detect_{c.name}": _detector(c.name) for c in CATEGORIES if not c.user_authored}
-    found |= {"redact_label": _modes("label"), "redact_pseudonym": _modes("pseudonym"), "redact_email": _email_only("redacted"), "redact_email_label": _email_only("label")}
+    found |= {"redact_label": _modes("label"), "redact_pseudonym": _modes("pseudonym"), "redact_texts": _texts_pseudonyms, "redact_email": _email_only("redacted"), "redact_email_label": _email_only("label")}
     found |= {
         "document_tokens": _pseudonyms, "email_counts_by_lang": _counts_by_lang, "category_counts": _all_counts, "category_rollup": _rollup, "exact_values": _exact, "excluded_items": _excluded,
         "segments": _segments, "pseudonym_keys": _keys, "registry": _registry, "csv_round_trip": _csv, "text_views": _view, "sniff_files": _sniff, "decode_files": _decode, "ocr_words": _words, "page_text": _page_text,
@@ -290,9 +316,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {f"detect_{k}": O.detector_sql(k, _TEXTS_SQL) for k in O.RULES} | {
-        "redact_documents": O.redacted_sql("redacted", "doc_id, lang, total, sha256(redacted) AS redacted_sha256, found"),
-        "redact_label": O.redacted_sql("label", "doc_id, total, redacted"),
-        "redact_pseudonym": O.redacted_sql("pseudonym", "doc_id, total, redacted"),
+        "redact_documents": O.redacted_sql("redacted", "key AS doc_id, (SELECT lang FROM documents WHERE doc_id = key) AS lang, total, sha256(redacted) AS redacted_sha256, found"),
+        "redact_label": O.redacted_sql("label", "key AS doc_id, total, redacted"),
+        "redact_pseudonym": O.redacted_sql("pseudonym", "key AS doc_id, total, redacted"),
+        "redact_texts": O.redacted_sql("pseudonym", "source, key, total, redacted, found", _TEXTS_SQL),
         "category_counts": O.counts_sql(),
         "segments": O.segments_sql("email", "ipAddress", "creditCard"),
         "document_tokens": O.tokens_sql(),
