@@ -2,28 +2,37 @@
 
 Rows with equal texts form a group and go to one shard; a group that is heavier than a whole shard in any of the
 three dimensions is cut into pieces by its rows' ids. Groups are placed heaviest first, each in the shard whose
-residual capacity has the largest dot product with the group's size, both as shares of a shard's capacity. A closing
-pass moves single items between the fullest and the emptiest shard to even out the bytes.
+residual capacity has the largest dot product with the group's size, both as shares of a shard's capacity. As the law
+asks for near equal bytes and the product weighs three measures, a closing pass of the driver moves single items
+between the fullest and the emptiest shard.
 
-At most ``LARGE`` groups a shard are placed one by one: those with at least 1 / LARGE of a shard in some dimension,
-of which there can't be more than 3 * LARGE a shard. The rest are dealt into a fixed number of bundles by the hash of
-their texts, and bundles are placed like groups; so what the driver places is bounded whatever the corpus holds.
+At most ``LARGE`` groups a shard are placed by the driver one by one: those with at least 1 / LARGE of a shard in some
+dimension, of which there can't be more than 3 * LARGE a shard. The others are placed by the same rule in rounds: they
+are dealt into districts of about ``DISTRICT`` groups, and each district packs its own, one by one, into bins. A bin is
+an item of the next round, until at most ``DRIVER_ITEMS`` are left, which the driver places among the large groups. So
+each group is placed by its dot product, and what one task or the driver holds is bounded whatever the corpus holds.
 Slots are running numbers inside a piece or bundle after those of its predecessors in the shard, so no shard is
 ever sorted as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskframe.llm.shared import stored
+from maskframe.llm.shared import ensure_importable, stored
 
 SHARDS = 8
 LARGE = 200
-BUNDLES_PER_SHARD = 1024
+DISTRICT = 16_384
+DRIVER_ITEMS = 8192
+#: Bins of a district: so many that a round leaves about DRIVER_ITEMS, within these bounds.
+MOST_BINS = 1024
 #: Rows of a piece that one task numbers.
 PART_ROWS = 4096
 
@@ -44,7 +53,7 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
         best = int(np.argmax(score))
         out[i] = best
         residual[best] -= s
-    return even_bytes(sizes[:, 0], out, shards)
+    return out
 
 
 def even_bytes(size: np.ndarray, shard: np.ndarray, shards: int, moves: int = 1000) -> np.ndarray:
@@ -63,7 +72,37 @@ def even_bytes(size: np.ndarray, shard: np.ndarray, shards: int, moves: int = 10
     return shard
 
 
-def pack_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def packer(bins: int) -> Callable[[pa.Table], pa.Table]:
+    """(name, bin) of a district's items; bins are numbered over all districts."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("name")
+        sizes = np.stack([t[c].to_numpy() for c in "btn"], 1).astype(float)
+        return pa.table({"name": t["name"], "bin": pa.array(t["home"][0].as_py() * bins + place(sizes, bins))})
+
+    return pack
+
+
+def in_rounds(items: DataFrame, shards: int, district: int, driver_items: int) -> tuple[DataFrame, DataFrame]:
+    """Packs items (grp, b, t, n) into at most ``driver_items`` bins, or leaves them as they are if there aren't more.
+
+    Gives (grp, name), the bin of each item, and (name, b, t, n), the bins.
+    """
+    ensure_importable(items.sparkSession)
+    names = items.select("grp", F.col("grp").alias("name"))
+    bins = items.select(F.col("grp").alias("name"), "b", "t", "n")
+    while (count := bins.count()) > driver_items:
+        districts = -(-count // district)
+        width = int(min(max(driver_items // districts, shards), MOST_BINS, district // 2))
+
+        dealt = bins.withColumn("home", F.pmod(F.xxhash64("name", F.lit(29)), F.lit(districts)))
+        packed = stored(dealt.groupBy("home").applyInArrow(packer(width), "name long, bin long"), "packed")
+        bins = stored(bins.join(packed, "name").groupBy("bin").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n")).withColumnRenamed("bin", "name"), "bins")
+        names = names.join(packed, "name").select("grp", F.col("bin").alias("name"))
+    return names, bins
+
+
+def pack_shards(docs: DataFrame, shards: int = SHARDS, district: int = DISTRICT, driver_items: int = DRIVER_ITEMS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row under the law ``bytes``.
 
     ``size`` is the text's UTF-8 bytes plus 1; a null text has no bytes, no tokens and the checksum 0 of no bytes, and
@@ -78,25 +117,29 @@ def pack_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.xxhash64("text").alias("grp"),
     )
     rows = stored(rows, "rows")  # five numbers a row; texts are read once
-    bundles = shards * BUNDLES_PER_SHARD
-    bundle = F.pmod("grp", F.lit(bundles)).cast("long")
     groups = rows.groupBy("grp").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     full = [max((x or 0) / shards, 1.0) for x in total]
     share = F.greatest(*(F.col(c) / F.lit(f) for c, f in zip("btn", full, strict=True)))
+    groups = stored(groups.withColumn("share", share), "groups")
     # bounded: a group here has 1 / LARGE of a shard in one of three dimensions
-    large = [(r.grp, np.array([r.b, r.t, r.n], float), r.share) for r in groups.withColumn("share", share).where(F.col("share") >= 1.0 / LARGE).collect()]
-    pieces = {g: int(np.ceil(s * 4)) if s > 1 else 1 for g, _, s in large}
+    pieces = {r.grp: int(np.ceil(r.share * 4)) if r.share > 1 else 1 for r in groups.where(F.col("share") >= 1.0 / LARGE).select("grp", "share").collect()}
     spark = docs.sparkSession
-    known = spark.createDataFrame([(g, pieces[g]) for g, _, _ in large], "grp long, pieces int")
+    known = spark.createDataFrame(list(pieces.items()), "_g long, pieces int")
     # at most 3 * LARGE * shards rows of two numbers
-    named = rows.join(F.broadcast(known.withColumnRenamed("grp", "_g")), F.col("grp") == F.col("_g"), "left")
+    known = F.broadcast(known)
+    large = rows.join(known, F.col("grp") == F.col("_g"))
     of_piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id", F.lit(17)), F.col("pieces"))).otherwise(F.lit(0)).cast("long")
-    # a piece's name: bundles count from 0, groups of their own are negative
-    named = named.select("doc_id", "size", "text_crc32", "tokens", "grp", F.when(F.col("_g").isNotNull(), F.lit(True)).otherwise(F.lit(False)).alias("own"), F.when(F.col("_g").isNotNull(), F.col("grp")).otherwise(bundle).alias("name"), of_piece.alias("piece"))
-    weights = named.groupBy("own", "name", "piece").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("own", "name", "piece").collect()
+    columns = ("doc_id", "size", "text_crc32", "tokens", "grp")
+    large = large.select(*columns, F.lit(True).alias("own"), F.col("grp").alias("name"), of_piece.alias("piece"))
+    names, bins = in_rounds(groups.where(F.col("share") < 1.0 / LARGE).select("grp", "b", "t", "n"), shards, district, driver_items)
+    # no row of a large group takes part in this join, so none of its keys holds much
+    small = rows.join(known, F.col("grp") == F.col("_g"), "left_anti").join(names, "grp")
+    named = large.unionByName(small.select(*columns, F.lit(False).alias("own"), "name", F.lit(0).cast("long").alias("piece")))
+    weights = large.groupBy("own", "name", "piece").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("name", "piece").collect()
+    weights += bins.select(F.lit(False).alias("own"), "name", F.lit(0).cast("long").alias("piece"), "b", "t", "n").orderBy("name").collect()
     sizes = np.array([[w.b, w.t, w.n] for w in weights], float).reshape(-1, 3)
-    shard = place(sizes, shards)
+    shard = even_bytes(sizes[:, 0], place(sizes, shards), shards)
     start, after = [], [0] * shards
     for w, s in zip(weights, shard.tolist(), strict=True):
         start.append(after[s])

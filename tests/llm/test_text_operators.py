@@ -275,6 +275,37 @@ def test_sharding(docs, spark):
     assert all(len(s) == 1 for s in groups.values())
 
 
+@pytest.mark.parametrize("district,items,rows_apart", [(512, 512, 1.05), (128, 64, None)])
+def test_sharding_in_rounds(spark, district, items, rows_apart):
+    """Districts give whole groups, gapless slots and near equal bytes. Rows are near equal too where the driver has
+    many items; in the second case, of two rounds, it has 64, and evening out the bytes moves many rows at once."""
+    df = spark.range(6000).select((F.col("id") % 5990).alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), (F.col("id") % 2500).cast("string"), F.repeat(F.lit(" y"), (F.col("id") % 50).cast("int")))).alias("text"))
+    rows = sharding.pack_shards(df.withColumn("bin", F.lit(1)), 8, district=district, driver_items=items).collect()
+    assert len(rows) == 6000
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    loads = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
+    counts = [sum(r.shard == s for r in rows) for s in range(8)]
+    assert max(loads) <= 1.02 * min(loads)
+    assert rows_apart is None or max(counts) <= rows_apart * min(counts)
+    homes = {}
+    for r in rows:
+        homes.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert sorted(map(len, homes.values()))[-2] == 1  # all groups but the one heavier than a shard
+
+
+def test_each_item_goes_where_its_dot_product_is_highest():
+    sizes = np.random.default_rng(2).integers(1, 100, (300, 3)).astype(float)
+    got = sharding.place(sizes, 4)
+    share = sizes * (4 / sizes.sum(0))
+    left = np.ones((4, 3))
+    for i in sorted(range(300), key=lambda i: (-share[i].max(), i)):
+        over = [max(0, *(share[i] - left[b])) for b in range(4)]
+        best = max((b for b in range(4) if over[b] <= min(over) + 1e-12), key=lambda b: (left[b] @ share[i], -b))
+        assert got[i] == best
+        left[best] -= share[i]
+
+
 def test_toxicity(spark, docs):
     import random
 
