@@ -8,7 +8,7 @@ between the fullest and the emptiest shard.
 
 At most ``LARGE`` groups a shard are placed by the driver one by one: those with at least 1 / LARGE of a shard in some
 dimension, of which there can't be more than 3 * LARGE a shard. The others are placed by the same rule in rounds: they
-are dealt into districts of about ``DISTRICT`` groups, and each district packs its own, one by one, into bins. A bin is
+are dealt into districts of about ``DISTRICT`` groups of like bytes beside rows, and each district packs its own, one by one, into bins. A bin is
 an item of the next round, until at most ``DRIVER_ITEMS`` are left, which the driver places among the large groups. So
 each group is placed by its dot product, and what one task or the driver holds is bounded whatever the corpus holds.
 Slots are running numbers inside a piece or bundle after those of its predecessors in the shard, so no shard is
@@ -31,7 +31,9 @@ SHARDS = 8
 LARGE = 200
 DISTRICT = 16_384
 DRIVER_ITEMS = 8192
-#: Bins of a district: so many that a round leaves about DRIVER_ITEMS, within these bounds.
+#: Districts are apart by how many bytes their groups have beside rows, in so many classes.
+CLASSES = 8
+#: Bins of a district: so many that a round leaves about DRIVER_ITEMS, at most this and at least one a shard.
 MOST_BINS = 1024
 #: Rows of a piece that one task numbers.
 PART_ROWS = 4096
@@ -84,22 +86,27 @@ def packer(bins: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def in_rounds(items: DataFrame, shards: int, district: int, driver_items: int) -> tuple[DataFrame, DataFrame]:
-    """Packs items (grp, b, t, n) into at most ``driver_items`` bins, or leaves them as they are if there aren't more.
+    """Packs items (grp, b, t, n) into at most ``driver_items`` bins, or leaves them as they are if there aren't more;
+    that must be at least ``CLASSES`` times the shards.
 
     Gives (grp, name), the bin of each item, and (name, b, t, n), the bins.
     """
     ensure_importable(items.sparkSession)
     names = items.select("grp", F.col("grp").alias("name"))
     bins = items.select(F.col("grp").alias("name"), "b", "t", "n")
-    while (count := bins.count()) > driver_items:
-        districts = -(-count // district)
-        width = int(min(max(driver_items // districts, shards), MOST_BINS, district // 2))
-
-        dealt = bins.withColumn("home", F.pmod(F.xxhash64("name", F.lit(29)), F.lit(districts)))
+    while True:
+        count, b, n = bins.agg(F.count("*"), F.sum("b"), F.sum("n")).first()
+        if count <= driver_items:
+            return names, bins
+        per_class = -(-count // district)
+        width = int(min(max(driver_items // (CLASSES * per_class), shards), MOST_BINS))
+        # bytes beside rows: bins of one class are heavy in one of them, so that later items can still balance both
+        weight = F.col("b") / F.lit(float(b))
+        of_class = F.least(F.floor(weight / (weight + F.col("n") / F.lit(float(n))) * CLASSES), F.lit(CLASSES - 1))
+        dealt = bins.withColumn("home", of_class * per_class + F.pmod(F.xxhash64("name", F.lit(29)), F.lit(per_class)))
         packed = stored(dealt.groupBy("home").applyInArrow(packer(width), "name long, bin long"), "packed")
         bins = stored(bins.join(packed, "name").groupBy("bin").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n")).withColumnRenamed("bin", "name"), "bins")
         names = names.join(packed, "name").select("grp", F.col("bin").alias("name"))
-    return names, bins
 
 
 def pack_shards(docs: DataFrame, shards: int = SHARDS, district: int = DISTRICT, driver_items: int = DRIVER_ITEMS) -> DataFrame:
