@@ -26,6 +26,10 @@ from maskframe.llm.shared import ensure_importable
 
 SHARD_VECTORS = 8192
 QUERY_BLOCK = 256
+#: Blocks of each sorted array; a window takes whole blocks, so it is wider by at most one of them at each end.
+BLOCKS = 64
+#: Windows are widened this often; a query that is still not done (one far from all vectors) is compared with all.
+WIDENINGS = 60
 
 
 @dataclass(frozen=True)
@@ -37,7 +41,7 @@ class Settings:
 
     projections: int = 128
     threshold: float = 0.66
-    first: float = 0.12
+    first: float = 0.25
     growth: float = 1.22
     verify: float = 0.08
     verify_least: int = 600
@@ -45,28 +49,81 @@ class Settings:
 
 
 class CollisionIndex:
+    """Sorted arrays of one shard, cut into ``BLOCKS`` blocks of equal rank. A window is a run of blocks, held as the
+    difference of two nested bit sets, so the collisions of 64 vectors with one window are counted by one word."""
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, s: Settings):
         # the rows of each different vector lie side by side in ``ids``, smallest id first; 0.0 and -0.0 are equal
         raw = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, vectors.shape[1] * 8))).reshape(-1)
         _, first, group, self.copies = np.unique(raw, return_index=True, return_inverse=True, return_counts=True)
         self.ids, self.at = ids[np.lexsort((ids, group))], np.cumsum(self.copies) - self.copies
         self.vectors, self.s = vectors[first], s
-        vectors = self.vectors
+        n, m = len(self.vectors), s.projections
         rng = np.random.default_rng([s.seed, vectors.shape[1]])
-        self.directions = rng.standard_normal((vectors.shape[1], s.projections))
-        h = vectors @ self.directions
-        self.order = np.ascontiguousarray(np.argsort(h, axis=0, kind="stable").T.astype(np.intp))
+        self.directions = rng.standard_normal((vectors.shape[1], m))
+        h = self.vectors @ self.directions
         self.sorted = np.ascontiguousarray(np.sort(h, axis=0).T)
         self.scale = float(np.median(h.std(axis=0))) or 1.0
-        self.need = max(1, math.ceil(s.threshold * s.projections))
+        self.need = max(1, math.ceil(s.threshold * m))
+        self.blocks = min(BLOCKS, n)
+        words = -(-n // 64)
+        # below[j, b]: the vectors in the first b blocks of array j, a bit each
+        self.below = np.zeros((m, self.blocks + 1, words), np.uint64)
+        block = np.empty(n, np.int64)
+        for j in range(m):
+            block[np.argsort(h[:, j], kind="stable")] = np.arange(n) * self.blocks // n
+            bits = np.zeros((self.blocks, words * 64), np.uint8)
+            bits[:, :n] = block < np.arange(1, self.blocks + 1)[:, None]
+            self.below[j, 1:] = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+    def collided(self, h: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """(queries x vectors: in at least ``need`` windows; queries: whether their windows hold the whole shard)."""
+        n, m = len(self.vectors), self.s.projections
+        waiting: list[list[np.ndarray]] = [[] for _ in range(m.bit_length() + 1)]
+
+        def add(plane: np.ndarray, weight: int) -> None:
+            # three planes of one weight become a plane of that weight and one of twice that weight
+            waiting[weight].append(plane)
+            if len(waiting[weight]) == 3:
+                a, b, c = waiting[weight]
+                either = a ^ b
+                waiting[weight] = [either ^ c]
+                add((a & b) | (either & c), weight + 1)
+
+        whole = np.ones(len(h), bool)
+        for j in range(m):
+            left = np.searchsorted(self.sorted[j], h[:, j] - half)
+            right = np.searchsorted(self.sorted[j], h[:, j] + half, "right")
+            low = left * self.blocks // n
+            high = np.where(right > left, (right - 1) * self.blocks // n + 1, low)
+            whole &= high - low == self.blocks
+            add(self.below[j, high] ^ self.below[j, low], 0)
+        # the counts plus 2^bits - need carry into the next bit where a count reaches need
+        bits = m.bit_length()
+        start = (1 << bits) - self.need
+        carry = None
+        for weight in range(bits):
+            terms = waiting[weight] + ([carry] if carry is not None else []) + ([np.uint64(0xFFFFFFFFFFFFFFFF)] if start >> weight & 1 else [])
+            carry = None
+            while len(terms) > 1:
+                a, b = terms.pop(), terms.pop()
+                c = terms.pop() if terms else np.uint64(0)
+                either = a ^ b
+                up = (a & b) | (either & c)
+                terms.append(either ^ c)
+                if carry is None:
+                    carry = up
+                else:
+                    waiting[weight + 1].append(up)
+        flags = np.zeros((len(h), self.below.shape[2]), np.uint64)
+        for x in waiting[bits] + ([carry] if carry is not None else []):
+            flags |= x
+        return np.unpackbits(flags.astype("<u8").view(np.uint8), axis=1, bitorder="little", count=n).view(bool), whole
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, distances) of the k nearest found of each query, itself left out; ties to smaller ids."""
-        n, m, nq = len(self.vectors), self.s.projections, len(queries)
+        n, nq = len(self.vectors), len(queries)
         h = queries @ self.directions
-        centre = np.stack([np.searchsorted(self.sorted[j], h[:, j]) for j in range(m)], 1)
-        low, high = centre.copy(), centre.copy()
-        counts = np.zeros((nq, n), np.uint16)
         tried = np.zeros((nq, n), bool)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * nq
         exact = self.s.verify >= 1
@@ -74,36 +131,34 @@ class CollisionIndex:
         seen, rows = np.zeros(nq, np.int64), np.zeros(nq, np.int64)
         live = np.arange(nq)
         half = self.scale * self.s.first
-        flat = self.order
-        while len(live):
-            l = np.stack([np.searchsorted(self.sorted[j], h[live, j] - half) for j in range(m)], 1)
-            r = np.stack([np.searchsorted(self.sorted[j], h[live, j] + half, "right") for j in range(m)], 1)
-            done = []
-            for x, q in enumerate(live.tolist()):
-                parts = [flat[j, a:b] for j, (a, b) in enumerate(zip(l[x].tolist(), low[q].tolist(), strict=True)) if a < b]
-                parts += [flat[j, a:b] for j, (a, b) in enumerate(zip(high[q].tolist(), r[x].tolist(), strict=True)) if a < b]
-                if parts:
-                    counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.uint16)
-                low[q], high[q] = l[x], r[x]
-                new = np.flatnonzero((counts[q] >= self.need) & ~tried[q])
-                if len(new):
-                    tried[q, new] = True
-                    seen[q] += len(new)
-                    rows[q] += self.copies[new].sum()
-                    # of equal vectors the k smallest ids but the query's own can be among the best
-                    size = np.minimum(self.copies[new], k + 1)
-                    ids = self.ids[np.repeat(self.at[new] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    d = np.repeat(np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(1)), size)
-                    other = ids != own[q]
-                    ids, d = np.concatenate([best[q][0], ids[other]]), np.concatenate([best[q][1], d[other]])
-                    keep = np.lexsort((ids, d))[:k]
-                    best[q] = (ids[keep], d[keep])
-                whole = (high[q] - low[q]).min() == n
+        for widening in range(WIDENINGS + 1):
+            if widening < WIDENINGS:
+                hit, whole = self.collided(h[live], half)
+            else:
+                hit, whole = np.ones((len(live), n), bool), np.ones(len(live), bool)
+            hit &= ~tried[live]
+            tried[live] |= hit
+            done = whole
+            for x in np.flatnonzero(hit.any(axis=1)).tolist():
+                q, new = live[x], np.flatnonzero(hit[x])
+                seen[q] += len(new)
+                rows[q] += self.copies[new].sum()
+                # of equal vectors the k smallest ids but the query's own can be among the best
+                size = np.minimum(self.copies[new], k + 1)
+                ids = self.ids[np.repeat(self.at[new] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                d = np.repeat(np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(1)), size)
+                other = ids != own[q]
+                ids, d = np.concatenate([best[q][0], ids[other]]), np.concatenate([best[q][1], d[other]])
+                keep = np.lexsort((ids, d))[:k]
+                best[q] = (ids[keep], d[keep])
+            for x in np.flatnonzero(seen[live] > 0).tolist():
+                q = live[x]
                 # windows of this half-width hold most vectors within half / 1.2 of the query
                 certain = not exact and len(best[q][0]) == k and best[q][1][-1] * 1.2 <= half and rows[q] >= k + 1
-                if whole or certain or seen[q] >= enough:
-                    done.append(q)
-            live = np.setdiff1d(live, done)
+                done[x] |= certain or seen[q] >= enough
+            live = live[~done]
+            if not len(live):
+                break
             half *= self.s.growth
         return best
 
