@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskframe import more_queries
 from maskframe import oracle as O
 from maskframe.functions import validators as V
 from maskframe.functions.registry import CATEGORIES, Options, pseudonym_key, registry_table
@@ -311,7 +312,7 @@ def queries() -> dict[str, Query]:
         "segments": _segments, "pseudonym_keys": _keys, "registry": _registry, "csv_round_trip": _csv, "text_views": _view, "sniff_files": _sniff, "decode_files": _decode, "ocr_words": _words, "page_text": _page_text,
         "limits": _limits, "check_digits": _checks, "count_occurrences": _occurrences, "windowed_counts": _stream_counts,
     }
-    return found
+    return found | more_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -341,4 +342,4 @@ def oracle_sql() -> dict[str, str]:
         "check_digits": _CHECKS_SQL,
         "count_occurrences": "SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents",
         "windowed_counts": _STREAM_SQL,
-    }
+    } | more_queries.oracle_sql()
