@@ -11,7 +11,7 @@ from maskframe.functions.kernel import SPAN
 from maskframe.functions.registry import CATEGORIES, Options, all_categories, categories_in_group, category, category_label, registry_table
 from maskframe.operators import redaction as R
 from maskframe.operators.overlap import resolve_overlaps
-from maskframe.plans.engine import all_category_counts, category_rollup, find_spans, group_warnings, redact, redact_spans
+from maskframe.plans.engine import all_category_counts, category_rollup, find_spans, group_warnings, once_per_text, redact, redact_spans
 from maskframe.queries import queries
 
 PRIORITY = {c.name: c.priority for c in CATEGORIES}
@@ -157,6 +157,30 @@ def test_no_category_no_work(spark):
     assert r.redacted == "a@x.co" and r.summary.total == 0
 
 
+def test_texts_in_one_piece_are_dealt_out_and_each_different_one_is_redacted_once(spark, monkeypatch):
+    mail = F.concat(F.lit("from a"), (F.col("id") % 40).cast("string"), F.lit("@x.co to b@x.co"))
+    one_piece = spark.range(400).select(F.lit("s").alias("source"), F.col("id").alias("key"), F.when(F.col("id") != 7, mail).alias("text")).coalesce(1)
+    monkeypatch.setattr("maskframe.queries.texts", lambda *a: one_piece)
+    rows = queries()["redact_texts"](spark, "").withColumn("piece", F.spark_partition_id()).collect()
+    assert {r.key: (r.total, r.redacted, r.found) for r in rows} == {i: (0, None, "") if i == 7 else (2, "from [EMAIL_1] to [EMAIL_2]", f"a{i % 40}@x.co|b@x.co") for i in range(400)}
+    assert len(rows) == 400 and len({r.piece for r in rows}) > 1
+    given = []
+    got = once_per_text(one_piece, lambda t: (given.append(t.count()), t.withColumn("n", F.length("text")))[1])
+    assert given == [40] and got.where("n = length(text)").count() == 399 and got.where("n is null").count() == 1
+
+
+def test_boundaries_of_numbers_and_words(spark):
+    text = "é2024-01-15 x2024-01-15 2024-01-15é _3 March; 13 March; March 3rd_ ſsn ssn 123-45-6789é 10.0.0.1x 10.0.0.2é"
+    found = {(x.category, x.text) for x in one(spark, text, options=Options.only("date", "ssn", "ipAddress"))["items"]}
+    assert found == {("date", "2024-01-15"), ("date", "13 March"), ("ssn", "123-45-6789"), ("ipAddress", "10.0.0.2")}
+
+
+def test_folds_are_equal_on_both_sides_of_a_chunk(spark):
+    for n in (127, 128, 129, 300):
+        r = one(spark, " ".join(f"a{i % 50}@x.co" for i in range(n)), options=Options.only("email"), mode="pseudonym")
+        assert r.redacted == " ".join(f"[EMAIL_{i % 50 + 1}]" for i in range(n)) and r.summary.total == n
+
+
 def test_mode_queries_cover_all_documents_and_categories(spark):
     folder = "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
